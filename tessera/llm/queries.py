@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import neardup, packing, sharding, tokenfiles
+from . import langid, neardup, packing, sharding, tokenfiles, toxicity
 from .common import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, ~langid.held_out())
+    return langid.identify(docs, model).withColumn("held_out", langid.held_out())
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir)))
 
@@ -27,11 +34,19 @@ def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(documents(spark, sf_dir))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, documents(spark, sf_dir, "labels"), ~toxicity.held_out("id"))
+    return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_histogram_sort_sharding": op6_histogram_sort_sharding,
     "op9_token_id_output": op9_token_id_output,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Law: a set is the distinct 4-word shingles; pairs that share a shingle are compared in full.
