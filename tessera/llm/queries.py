@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, neardup, packing, sharding, tokenfiles, toxicity
+from . import langid, multiindex, neardup, packing, sharding, tokenfiles, topk, toxicity
 from .common import documents
 
 
@@ -30,6 +30,14 @@ def op6_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(documents(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(documents(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.token_files(documents(spark, sf_dir))
 
@@ -45,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op6_histogram_sort_sharding": op6_histogram_sort_sharding,
+    "op7_inverted_multi_index": op7_inverted_multi_index,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_token_id_output": op9_token_id_output,
     "op10_toxicity": op10_toxicity,
 }
@@ -67,4 +77,15 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.least) AS compone
 FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": OP4_SQL}
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_minhash_near_dedup": OP4_SQL, "op8_exact_top_k": OP8_SQL}

@@ -93,7 +93,7 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> tuple[np.n
     return q, right, corr
 
 
-def _logistic(rows: list[np.ndarray], size: int, target: np.ndarray, ridge: float = 1e-4, rounds: int = 250) -> tuple[np.ndarray, float]:
+def _logistic(rows: list[np.ndarray], size: int, target: np.ndarray, ridge: float = 1e-5, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic model of binary features on soft targets, by Adam."""
     col, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, b, m, v = np.zeros(size + 1), 0.0, np.zeros(size + 1), np.zeros(size + 1)
