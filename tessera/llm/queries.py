@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, multiindex, neardup, packing, sharding, tokenfiles, topk, toxicity
+from . import langid, multiindex, neardup, packing, pii, sharding, tokenfiles, topk, toxicity
 from .common import documents
 
 
@@ -25,6 +25,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=4)
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_histogram_sort_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.histogram_shards(documents(spark, sf_dir), 16, columns=["doc_id"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_histogram_sort_sharding": op6_histogram_sort_sharding,
     "op7_inverted_multi_index": op7_inverted_multi_index,
     "op8_exact_top_k": op8_exact_top_k,
