@@ -5,7 +5,7 @@ addresses, access keys, assigned secrets (password=..., token: "...") and names
 entity's surrogate is drawn from SHA-256 of (key, kind, normal form, attempt): the same entity has the
 same surrogate wherever and however it is written (coreference), nothing is kept that could undo it,
 and it is dressed as the entity was: digits stand where digits stood, upper case where upper case
-stood, cards keep their issuer's digit and a valid check digit, telephone numbers their country code,
+stood, cards (numbers with a valid check digit) keep their issuer's digit and validity, telephone numbers their country code,
 keys their prefix, names the gender of their title and their script.  Parts of a name are entities of
 their own, so `Mrs. Ada Byron`, `Mrs. Byron` and a later `Byron` in the same text agree.
 
@@ -59,9 +59,11 @@ _SECRET_HEAD = r"^(?i:[a-z_-]+)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
 
 
 def _kind(m: Column) -> Column:
+    """The kind of a match; a number that only looks like a card (its check digit is wrong) is no entity."""
     out = F.lit("person")
     for kind in reversed(list(PATTERNS)[:-1]):
-        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
+        named = F.when(_luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0, kind).otherwise("number") if kind == "card" else F.lit(kind)
+        out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), named).otherwise(out)
     return out
 
 
@@ -150,14 +152,14 @@ def _dress(kind: Column, fake: Column, surface: Column) -> Column:
     solid = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), " ", ""))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(fake, solid(i), F.lit(1)))), "")
     name = F.when(surface.rlike(r"^\p{Lu}{2,}$"), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.expr("''"), F.substring(fake, F.lit(2), F.length(fake))))
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "key", "secret"), fake).otherwise(name)
+    return F.when(kind == "number", surface).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "key", "secret"), fake).otherwise(name)
 
 
 def entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, kind, norm of the entities of each document, once each."""
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.array_distinct(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(_ANY), 0)).alias("m")).where(F.size("m") > 0)
     units = found.select("doc_id", F.explode("m").alias("m")).select("doc_id", F.explode(_units(F.col("m"))).alias("u"))
-    return units.select("doc_id", "u.kind", "u.norm")
+    return units.select("doc_id", "u.kind", "u.norm").where("kind != 'number'")
 
 
 def raised(found: DataFrame, key: str) -> DataFrame:
@@ -201,7 +203,7 @@ def replace(docs: DataFrame, key: str = "tessera", text_col: str = "text", id_co
     woven = F.array_join(F.zip_with(pieces, F.transform(F.col("__m"), written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     family = F.array_distinct(F.flatten(F.transform(F.filter("__m", lambda m: _kind(m) == "person"), lambda m: F.filter(_units(m), lambda u: u["kind"] == "family"))))
     bare = F.aggregate(family, F.col("__woven"), lambda acc, u: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), u["surface"], F.lit(r"(?![\p{L}\p{N}])")), surrogate(u)))
-    own = {text_col: F.when(F.size("__m") > 0, bare).otherwise(text), "n_entities": F.greatest(F.size("__m"), F.lit(0))}
+    own = {text_col: F.when(F.size("__m") > 0, bare).otherwise(text), "n_entities": F.coalesce(F.size(F.filter("__m", lambda m: _kind(m) != "number")), F.lit(0))}
     rows = rows.withColumn("__m", matches).withColumn("__woven", F.when(F.size("__m") > 0, woven))
     columns = [own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns]
     return rows.select(*columns, *([own["n_entities"].alias("n_entities")] if "n_entities" not in docs.columns else []))

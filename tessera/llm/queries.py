@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, multiindex, neardup, packing, pii, sharding, tokenfiles, topk, toxicity
+from . import langid, lattice, multiindex, neardup, packing, pii, sharding, tokenfiles, topk, toxicity
 from .common import documents
 
 
@@ -21,6 +21,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(documents(spark, sf_dir)))
 
 
+def op3_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode_samples(documents(spark, sf_dir))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), words=4)
 
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_sampled_segmentations": op3_sampled_segmentations,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii_surrogates": op5_pii_surrogates,
     "op6_histogram_sort_sharding": op6_histogram_sort_sharding,
