@@ -40,7 +40,7 @@ from .neardup import mix
 from .packing import steps
 
 MODEL, SHIFT, ALPHA, SAMPLES, SEED = "piece_bpe_32k.model", 2.7, 1.0, 2, 11
-_STEP = 3 << 20
+_STEP = 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile("▁+[^▁]*|[^▁]+")
 _vocabularies: dict[tuple[str, float], "Vocabulary"] = {}
