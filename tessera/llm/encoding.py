@@ -1,22 +1,22 @@
 """Encoding with the tokenizers library, one white-space word at a time behind a bounded cache.
 
-Both vocabularies cut texts before white space and around closing commas and full stops, so a text
-cut there has the ids of its parts.  Texts with other white space (runs of it, white space at the
+Both vocabularies cut texts before single white space and around closing commas and full stops, so a
+text cut there has the ids of its parts.  Texts with other white space (runs of it, white space at the
 ends, control separators) go through the library whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-#: Runs, ends and odd kinds of white space, and the separators used below: such texts are encoded whole.
-_WHOLE = re.compile(r"\s\s|\A\s|\s\Z|[\x01\x0b-\x0d\x1c-\x1f\x85\xa0İΣ  -‏    ⁠　﻿]")
-#: Words end here: before a blank or line end, and between a letter and a comma or full stop that ends the word.
-_CUT = re.compile(r"[ \n]?[^ \n]*[^\W\d_](?=[.,](?:[ \n]|\Z))|[ \n]?[^ \n]+")
-_CACHE_WORDS, _WORD_CHARS, _JOIN = 600_000, 48, 4_000
+#: Odd kinds of white space, the separators used below, and letters that don't lower-case alone.
+_ODD = re.compile(r"[\x01\t\x0b-\x0d\x1c-\x1f\x85\xa0İΣ  -‏    ⁠　﻿]")
+#: Words of a generation: those of the one before are looked up there before they are forgotten.
+_CACHE_WORDS, _WORD_CHARS, _JOIN = 420_000, 48, 4_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -34,11 +34,14 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        gc.set_threshold(1_000_000, 20, 100)  # the words of a batch are many and hold no cycles
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(token_path(path))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # words as they follow a blank, with what stands at their end
+        self.old: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # words after a line end or at the start
         # A separator that the vocabulary gives one id of its own between words: a line end where white
         # space has ids, else a control character between blanks.
         end = self.ids(["a\n b"])[0]
@@ -49,46 +52,96 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
+    def _learn(self, words: list[str], into: dict[str, bytes], blank: str) -> None:
         """ids of words, many to a call of the library."""
-        out: dict[str, bytes] = {}
-        odd = [w for w in words if self.between == "\n" and (w[0] != " " or "\n" in w)]
-        if odd:
-            out.update(zip(odd, self.ids(odd)))
-            words = [w for w in words if w not in out]
         for k in range(0, len(words), _JOIN):
             some = words[k : k + _JOIN]
-            ids = np.frombuffer(self.ids([self.between.join(some)])[0], "<u4")
+            ids = np.frombuffer(self.ids([blank + (self.between + blank).join(some)])[0], "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(some) - 1:
-                out.update(zip(some, self.ids(some)))
+                into.update(zip(some, self.ids([blank + w for w in some])))
                 continue
-            data, starts, ends = ids.tobytes(), np.append(0, ends + 1) * 4, np.append(ends, len(ids)) * 4
-            out.update((w, data[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist()))
+            data, starts, ends = ids.tobytes(), (np.append(0, ends + 1) * 4).tolist(), (np.append(ends, len(ids)) * 4).tolist()
+            into.update(zip(some, map(data.__getitem__, map(slice, starts, ends))))
+
+    @staticmethod
+    def _parts(word: str) -> list[str]:
+        """A word cut at line ends, and a closing comma or full stop cut from a letter before it."""
+        out = []
+        for p in word.split("\n"):
+            out += [p[:-1], p[-1]] if len(p) > 1 and p[-1] in ",." and p[-2].isalpha() else [p, ""]
         return out
 
+    def _odd(self, t: str) -> bool:
+        """Texts that go through the library whole."""
+        return "  " in t or ("\n" in t and ("\n\n" in t or " \n" in t or "\n " in t)) or t[0] in " \n" or t[-1] in " \n" or _ODD.search(t) is not None
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids; a null text has none."""
-        known, parts, new, whole = self.known, [], set(), []
+        known, bare, parts, new, firsts, whole = self.known, self.bare, [], set(), set(), []
         if len(known) > _CACHE_WORDS:
-            known.clear()
+            self.old, self.known = known, {}
+            known = self.known
+        if len(bare) > _CACHE_WORDS:
+            bare.clear()
+        old = self.old
         for text in texts:
-            text = text or ""
-            if _WHOLE.search(text):
-                whole.append(text)
+            if not text or self._odd(text):
+                whole.append(text or "")
                 parts.append(None)
                 continue
-            words = _CUT.findall(text.lower() if self.lower else text)
-            new.update(words)
-            parts.append(words)
-        new.difference_update(known.keys() & new)
-        own = self._words(list(new))
-        known.update(own)
-        rest = iter(self.ids(whole))
-        out = [next(rest) if words is None else b"".join([known[w] for w in words]) for words in parts]
-        for w in own:
-            if len(w) > _WORD_CHARS:
-                del known[w]
+            words = (text.lower() if self.lower else text).split(" ")
+            firsts.add(words[0])
+            ids, at, k = list(map(known.get, words)), [], 0
+            ids[0] = b""
+            try:
+                while True:
+                    k = ids.index(None, k + 1)
+                    at.append(k)
+                    new.add(words[k])
+            except ValueError:
+                pass
+            parts.append((words, ids, at))
+        plain, ended, lined = [], [], []
+        for w in new:
+            if (there := old.get(w)) is not None:
+                known[w] = there
+            elif "\n" in w:
+                lined.append(w)
+            elif w[-1] in ",." and len(w) > 1 and w[-2].isalpha():
+                ended.append(w)
+            else:
+                plain.append(w)
+        cuts = {w: self._parts(w) for w in lined}
+        own = {w: self._parts(w) for w in firsts}
+        plain += {w for w in [*[w[:-1] for w in ended], *[c[0] for c in cuts.values()]] if w not in known}.difference(plain)
+        self._learn(plain, known, " ")
+        after = {w for c in cuts.values() for w in c[1:]}.union(",.", *own.values()) - {""}
+        self._learn([w for w in after if w not in bare], bare, "")
+        bare[""] = b""
+        end = {c: bare[c] for c in ",."}
+        for w in ended:
+            known[w] = known[w[:-1]] + end[w[-1]]
+        line = np.array([self.mark], "<u4").tobytes() if self.between == "\n" else b""
+        for w, c in cuts.items():
+            known[w] = known[c[0]] + bare[c[1]] + b"".join([line + bare[x] + bare[y] for x, y in zip(c[2::2], c[3::2])])
+        starts = {w: line.join([bare[x] + bare[y] for x, y in zip(c[::2], c[1::2])]) for w, c in own.items()}
+        rest, out = iter(self.ids(whole)), []
+        for part in parts:
+            if part is None:
+                out.append(next(rest))
+                continue
+            words, ids, at = part
+            ids[0] = starts[words[0]]
+            for k in at:
+                ids[k] = known[words[k]]
+            out.append(b"".join(ids))
+        for some in (plain, ended, lined):
+            for w in some:
+                if len(w) > _WORD_CHARS:
+                    del known[w]
+        for w in [w for w in after if len(w) > _WORD_CHARS]:
+            del bare[w]
         return out
 
 

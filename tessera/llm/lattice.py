@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,11 @@ from .neardup import mix
 from .packing import steps
 
 MODEL, SHIFT, ALPHA, SAMPLES, SEED = "piece_bpe_32k.model", 2.7, 1.0, 2, 11
-_STEP = 8 << 20
+_STEP = 3 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORDS = re.compile("▁+[^▁]*|[^▁]+")
+#: Words whose lattices a worker keeps.
+_KEEP_WORDS = 60_000
 _vocabularies: dict[tuple[str, float], "Vocabulary"] = {}
 
 
@@ -74,6 +77,8 @@ class Vocabulary:
         total = np.log(sum(np.exp(w) for w in weight.values()))
         self.byte_logp = alpha * (-np.log(n + SHIFT) - total)
         self.longest = max(len(self.pieces[i]) for i in normal)
+        self.number: dict[str, int] = {}  # words whose lattices are kept
+        self.lattices: Lattices | None = None
         self.by_length, self.filter = {}, np.zeros(1 << 20, bool)
         for length in range(1, self.longest + 1):
             own = [i for i in normal if len(self.pieces[i]) == length]
@@ -145,8 +150,8 @@ class Lattices:
         target = np.where(to_left == 0, 0, node_of[np.minimum(source + left[source] - to_left, len(code) - 1)])
         node = node_of[source]
         order = np.argsort(node, kind="stable")
-        self.node = node = node[order]
-        self.target, self.piece, logp = target[order], piece[order], logp[order]
+        node, logp, target = node[order], logp[order], target[order]
+        self.node, self.target, self.piece = node.astype(np.int32), target.astype(np.int32), piece[order].astype(np.int32)
         self.first = np.append(0, np.cumsum(np.bincount(node, minlength=len(code) + 1)))
         beta = np.zeros(len(code) + 1)
         self.chance = np.ones(len(node))
@@ -155,33 +160,48 @@ class Lattices:
             if a == b:
                 continue
             lo, hi = int(self.first[a]), int(self.first[b])
-            w, starts = logp[lo:hi] + beta[self.target[lo:hi]], self.first[a:b] - lo
+            w, starts = logp[lo:hi] + beta[target[lo:hi]], self.first[a:b] - lo
             top = np.maximum.reduceat(w, starts)
             counts = np.diff(np.append(starts, hi - lo))
             e = np.exp(w - np.repeat(top, counts))
             total = np.add.reduceat(e, starts)
             beta[a:b] = top + np.log(total)
             self.chance[lo:hi] = e / np.repeat(total, counts)
-        run = np.cumsum(self.chance)
-        base = np.append(0.0, run)[self.first[node]]
-        self.cumulative = node + np.minimum(run - base, 1.0)
+        # chances add up within a node in its own order, then lie on a grid of 2^-32: choices don't depend on the batch
+        rank = np.arange(len(node)) - self.first[node]
+        run = self.chance.copy()
+        for r in range(1, int(rank.max(initial=0)) + 1):
+            at = np.flatnonzero(rank == r)
+            run[at] += run[at - 1]
+        grid = np.minimum(run * 2.0**32, 2.0**32 - 1).astype(np.uint64)
         self.alone = (np.diff(self.first) < 2)[node]
-        last = self.first[1:][self.first[1:] > self.first[:-1]] - 1
-        self.cumulative[last] = node[last] + 1.0
+        grid[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = np.uint64(1 << 32)
+        self.cumulative = (node.astype(np.uint64) << np.uint64(32)) + grid
         self.start = node_of[ends - lengths] if len(words) else np.empty(0, np.int64)
 
+    def joined(self, other: "Lattices") -> "Lattices":
+        """These lattices and others as one; the others' nodes and edges come after."""
+        out, n, m = Lattices.__new__(Lattices), len(self.first) - 2, len(self.node)
+        out.node = np.append(self.node, other.node + np.int32(n))
+        out.target = np.append(self.target, np.where(other.target > 0, other.target + np.int32(n), np.int32(0)))
+        for name in ("piece", "chance", "alone"):
+            setattr(out, name, np.append(getattr(self, name), getattr(other, name)))
+        out.cumulative = np.append(self.cumulative, other.cumulative + np.uint64(n << 32))
+        out.first = np.append(self.first[:-1], other.first[1:] + m)
+        out.start = np.append(self.start, other.start + n)
+        return out
+
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The edge that each u chooses at its node."""
-        return np.minimum(np.searchsorted(self.cumulative, node + u, "right"), self.first[node + 1] - 1)
+        """The edge that each u (32 bits) chooses at its node."""
+        return np.searchsorted(self.cumulative, (node.astype(np.uint64) << np.uint64(32)) + u, "right")
 
 
-def _draw(lattices: Lattices, start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A path through each word: (edges in order, offsets by word)."""
-    active = np.argsort(start)  # neighbours in memory one after the other
+def _draw(lattices: Lattices, start: np.ndarray, active: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A path through each word: (edges in order, offsets by word).  active: the words, neighbours in memory together."""
     steps_, node, t = [], start[active], 0
     counts = np.zeros(len(start), np.int64)
     while len(active):
-        edge = lattices.step(node, _unit(keys[active] + np.uint64(t * int(_BASE) & 0xFFFFFFFFFFFFFFFF)))
+        edge = lattices.step(node, mix(keys[active] + np.uint64(t * int(_BASE) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32))
         steps_.append((active, edge))
         counts[active] += 1
         node = lattices.target[edge]
@@ -243,7 +263,7 @@ def top_k(lattices: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], key: i
         # the departing edge, then a free draw to the end of the word and through the words after it
         tail, there = [edge], int(lattices.target[edge])
         while there:
-            tail.append(int(lattices.step(np.array([there]), np.array([u()]))[0]))
+            tail.append(int(lattices.step(np.array([there]), np.array([int(u() * 2**32)], np.uint64))[0]))
             there = int(lattices.target[tail[-1]])
         free, off = draws[len(out)]
         word = int(best.words[at])
@@ -261,16 +281,30 @@ def top_k(lattices: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], key: i
 def sample_texts(texts: list[str], keys: list[int], v: Vocabulary, k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: ids, log-probability, perturbed value, inclusion score."""
     split = [_WORDS.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    number: dict[str, int] = {}
-    flat = np.array([number.setdefault(w, len(number)) for words in split for w in words], np.int64)
-    lattices = Lattices(list(number), v) if number else None
+    number, kept = v.number, len(v.number)
+    got = [list(map(number.get, words)) for words in split]
+    for words, own in zip(split, got):
+        if None in own:
+            own[:] = [number.setdefault(w, len(number)) if n is None else n for w, n in zip(words, own)]
+    flat = np.array(list(chain.from_iterable(got)), np.int64)
+    new = list(islice(number, kept, None))
+    lattices = v.lattices
+    if new:
+        built = Lattices(new, v)
+        lattices = built if lattices is None else lattices.joined(built)
+        if kept < _KEEP_WORDS:
+            v.lattices = lattices
+        else:
+            for w in new:
+                del number[w]
     counts = np.array([len(w) for w in split], np.int64)
     bounds = np.append(0, np.cumsum(counts))
     place = np.arange(len(flat), dtype=np.uint64) - np.repeat(bounds[:-1], counts).astype(np.uint64)
     row = np.repeat(np.array(keys, np.uint64), counts)
-    draws = []
+    draws, starts = [], lattices.start[flat] if len(flat) else flat
+    order = np.argsort(starts)
     for r in range(k if len(flat) else 0):
-        draws.append(_draw(lattices, lattices.start[flat], mix(row + np.uint64((r + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) + mix(place + np.uint64(r))))
+        draws.append(_draw(lattices, starts, order, mix(row + np.uint64((r + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) + mix(place + np.uint64(r))))
     for i in range(len(texts)):
         a, b = int(bounds[i]), int(bounds[i + 1])
         if a == b:

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Rows of one length that are numbered in one task.
 RANK_ROWS = 100_000
 #: Bytes of text encoded at once by a worker.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 4 << 20
 
 
 class _Plan:
@@ -169,7 +170,7 @@ def steps(batch: pa.RecordBatch, column: int = 1, most: int = STEP_BYTES) -> Ite
     """The batch in runs of rows with about so many bytes of text; a longer text is a run of its own."""
     if not batch.num_rows:
         return
-    sizes = np.array([len(x) if x else 0 for x in batch.column(column).to_pylist()], np.int64) + 16
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
     marks = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0) > 0)
     edges = [0, *[int(m) for m in marks if m], batch.num_rows]
     for a, b in zip(edges, edges[1:]):

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 # Titles by gender, and syllables that names are made of.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа", "г-жа"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "г-н"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "госпожа", "г-жа"]
 OTHER_TITLES = ["Dr", "Prof"]
 LATIN = ["al", "ba", "bel", "cor", "da", "del", "er", "fa", "gar", "han", "il", "jo", "ka", "lan", "mar", "mi", "na", "nor", "ol", "pa", "per", "ra", "ro", "sal", "sen", "ta", "tor", "ul", "van", "ver", "wil", "yor"]
 CYRILLIC = ["ал", "ба", "бел", "вар", "вол", "га", "гор", "да", "дем", "ер", "жа", "зо", "ил", "ка", "кор", "лан", "ле", "мар", "ми", "на", "ник", "ор", "па", "пет", "ра", "ром", "са", "сев", "та", "тим", "фе", "юр"]

@@ -47,6 +47,8 @@ def _matches(prefix: tuple[int, ...]) -> Column:
 def splitters(keys: DataFrame, shards: int, weight: str = "__size", tolerance: float = TOLERANCE) -> list[tuple[int, ...]]:
     """Digits of each splitter: rows whose leading digits are at least these lie above it."""
     total = keys.agg(F.sum(weight)).first()[0] or 0
+    if not total:
+        return []
     slack = tolerance * total / shards
     open_at = {t: ((), 0) for t in range(1, shards)}  # target: prefix that holds it, weight below that prefix
     done: dict[int, tuple[int, ...]] = {}
@@ -74,7 +76,7 @@ def splitters(keys: DataFrame, shards: int, weight: str = "__size", tolerance: f
             else:
                 still[t] = ((*prefix, d), below)
         open_at = still
-    return [done[t] for t in sorted(done)] if total else []
+    return [done[t] for t in sorted(done)]
 
 
 def _at_least(splitter: tuple[int, ...]) -> Column:

@@ -75,8 +75,10 @@ class ToxicityModel:
 def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """votes: rows x voters in {-1, 0, 1}.  Returns posterior of label 1, accuracy by voter, correlations."""
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
-    q = 1 / (1 + np.exp(-(votes.sum(1) + np.log(share / (1 - share)) / 2)))
-    discount, corr = np.ones(votes.shape[1]), np.eye(votes.shape[1])
+    with np.errstate(all="ignore"):
+        raw = np.nan_to_num(np.corrcoef(votes.T.astype(float)).reshape(votes.shape[1], -1))
+    discount, corr = 1 / np.clip((np.clip(raw, 0, 1) ** 4).sum(0), 1, None), np.eye(votes.shape[1])  # copies start as one voter
+    q = 1 / (1 + np.exp(-(2 * votes @ discount + np.log(share / (1 - share)) / 2)))
     for k in range(rounds):
         on = np.stack([np.einsum("r,rvk->vk", 1 - q, one_hot) + 0.5, np.einsum("r,rvk->vk", q, one_hot) + 0.5])
         on /= on.sum(2, keepdims=True)
@@ -86,7 +88,7 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> tuple[np.n
             left = votes - expected
             sd = np.sqrt((left**2).mean(0)) + 1e-9
             corr = (left.T @ left) / len(left) / np.outer(sd, sd)
-            discount = 1 / np.clip(np.where(corr > 0.2, corr, 0).sum(0), 1, None)
+            discount = np.minimum(1 / np.clip(np.where(corr > 0.2, corr, 0).sum(0), 1, None), 1 / np.clip((np.clip(raw, 0, 1) ** 4).sum(0), 1, None))
         z = evidence @ discount + np.log(share / (1 - share))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     right = (on[1][:, 2] * share + on[0][:, 0] * (1 - share)) / ((on[1][:, 2] + on[1][:, 0]) * share + (on[0][:, 0] + on[0][:, 2]) * (1 - share))
