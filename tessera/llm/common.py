@@ -59,6 +59,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc)
 
 
+_holder: list = ["", None]
+
+
+def claim(owner: str, forget=None) -> None:
+    """In a Python worker: an operator that keeps words at hand takes the place of the one before it.
+
+    Workers outlive stages; without this the caches of a pipeline's operators would add up.
+    """
+    if _holder[0] != owner:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [owner, forget]
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

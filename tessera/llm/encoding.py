@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from .common import claim
+
 #: Odd kinds of white space, the separators used below, and letters that don't lower-case alone.
 _ODD = re.compile(r"[\x01\t\x0b-\x0d\x1c-\x1f\x85\xa0İΣ  -‏    ⁠　﻿]")
 #: Words of a generation: those of the one before are looked up there before they are forgotten.
@@ -147,6 +149,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and vocabulary."""
+    claim(f"encoder {path}", lambda: _encoders.pop(path, None))
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

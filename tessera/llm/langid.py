@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import remainder, ship
+from .common import claim, remainder, ship
 from .packing import steps
 
 BUCKETS, ORDERS, FIT_ROWS = 1 << 15, (1, 2, 3), 4000
@@ -104,6 +104,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Languages, scores from 0 to 1, ambiguity."""
+        claim("languages")
         lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
         at = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
         if not at or not self.languages:

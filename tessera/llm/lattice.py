@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import claim, ship
 from .encoding import token_path
 from .neardup import mix
 from .packing import steps
@@ -95,6 +95,7 @@ class Vocabulary:
 
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     """One for each Python worker and model."""
+    claim(f"lattice {path}", _vocabularies.clear)
     if (path, alpha) not in _vocabularies:
         _vocabularies[path, alpha] = Vocabulary(path, alpha)
     return _vocabularies[path, alpha]

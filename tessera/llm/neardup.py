@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import claim, cut, ship
 from .components import connected_components
 
 ROWS, BANDS = 4, 30
@@ -58,6 +58,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     if not tokens:
         return np.empty(0, np.uint64)
     known = _known
+    claim("shingles", known.clear)
     if len(known) > _KNOWN_WORDS:
         known.clear()
     for w in set(tokens).difference(known):

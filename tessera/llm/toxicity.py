@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, remainder, ship
+from .common import claim, cut, remainder, ship
 from .langid import keep_rows
 from .neardup import shingles
 
@@ -59,6 +59,7 @@ class ToxicityModel:
     correlation: np.ndarray
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        claim("toxicity")
         weights, known, out = self.weights, {}, []
         for text in texts:
             found: set[str] = set()
