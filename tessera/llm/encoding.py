@@ -18,7 +18,7 @@ from .common import claim
 #: Odd kinds of white space, the separators used below, and letters that don't lower-case alone.
 _ODD = re.compile(r"[\x01\t\x0b-\x0d\x1c-\x1f\x85\xa0İΣ  -‏    ⁠　﻿]")
 #: Words of a generation: those of the one before are looked up there before they are forgotten.
-_CACHE_WORDS, _WORD_CHARS, _JOIN = 420_000, 48, 4_000
+_CACHE_WORDS, _WORD_CHARS, _JOIN = 600_000, 48, 4_000
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -43,6 +43,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}  # words as they follow a blank, with what stands at their end
         self.old: dict[str, bytes] = {}
+        self.words = _CACHE_WORDS
         self.bare: dict[str, bytes] = {}  # words after a line end or at the start
         # A separator that the vocabulary gives one id of its own between words: a line end where white
         # space has ids, else a control character between blanks.
@@ -81,10 +82,10 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids; a null text has none."""
         known, bare, parts, new, firsts, whole = self.known, self.bare, [], set(), set(), []
-        if len(known) > _CACHE_WORDS:
+        if len(known) > self.words:
             self.old, self.known = known, {}
             known = self.known
-        if len(bare) > _CACHE_WORDS:
+        if len(bare) > self.words:
             bare.clear()
         old = self.old
         for text in texts:
@@ -147,9 +148,10 @@ class Encoder:
         return out
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and vocabulary."""
+def encoder(path: str, words: int = _CACHE_WORDS) -> Encoder:
+    """One encoder for each Python worker and vocabulary; it keeps so many words in a generation."""
     claim(f"encoder {path}", lambda: _encoders.pop(path, None))
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].words = words
     return _encoders[path]

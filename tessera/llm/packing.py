@@ -150,9 +150,10 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.binary())] * with_ids])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        # with ids the pieces themselves fill a worker: fewer words at hand, shorter steps
+        encode = encoder(vocabulary, 120_000).encode if with_ids else encoder(vocabulary).encode
         for batch in batches:
-            for some in steps(batch):
+            for some in steps(batch, 1, STEP_BYTES // 4 if with_ids else STEP_BYTES):
                 rows = []
                 ids = some.column(0).to_pylist()
                 for doc_id, data in zip(ids, encode(some.column(1).to_pylist())):
