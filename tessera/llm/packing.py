@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
             for some in steps(batch, 1, STEP_BYTES // 4 if with_ids else STEP_BYTES):
                 rows = []
                 ids = some.column(0).to_pylist()
-                for doc_id, data in zip(ids, encode(some.column(1).to_pylist())):
+                for doc_id, data in zip(ids, encode(some.column(1))):
                     data += end
                     for k, (start, n) in enumerate(cut_pieces(len(data) // 4, capacity)):
                         part = data[4 * start : 4 * (start + n)]

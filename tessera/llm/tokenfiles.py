@@ -141,7 +141,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
                 if out is None:
                     out = there.open_output_stream(mine)
                     out.write(MAGIC)
-                for key, data in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
+                for key, data in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     if size and size + len(data) // 4 >= BLOCK_IDS:
                         total += write_block(out, keys, ids)
                         keys, ids, size = [], [], 0
