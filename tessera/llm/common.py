@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -9,6 +12,7 @@ import weakref
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,9 +74,19 @@ def claim(owner: str, forget=None) -> None:
     if _holder[0] != owner:
         if _holder[1]:
             _holder[1]()
+        if _holder[0]:
+            _give_back()
         _holder[:] = [owner, forget]
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the allocators keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

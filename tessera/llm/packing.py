@@ -24,13 +24,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut, ship
+from .common import claim, cut, ship
 from .encoding import encoder
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
@@ -195,16 +195,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.join(offsets, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__s"))).withColumn("__rank", F.col("__rank") + F.col("__before"))
     ranked = ranked.select(*parts.columns, "__rank")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column("length").to_numpy(zero_copy_only=False), batch.column("__rank").to_numpy(zero_copy_only=False)
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            for x in np.unique(length):
-                own = length == x
-                first, base, at = places[int(x)]
-                k = np.searchsorted(first, rank[own], "right") - 1
-                sequence[own], offset[own] = base[k] + rank[own] - first[k], at[k]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
-
-    schema = T.StructType([*parts.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(run, schema)
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        claim("places")
+        length, rank = length.to_numpy(), rank.to_numpy()
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        for x in np.unique(length):
+            own = length == x
+            first, base, at = places[int(x)]
+            k = np.searchsorted(first, rank[own], "right") - 1
+            sequence[own], offset[own] = base[k] + rank[own] - first[k], at[k]
+        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
+
+    # only lengths and ranks go to Python; ids stay where they are
+    return ranked.withColumn("__place", place("length", "__rank")).select(*parts.columns, "__place.sequence_id", "__place.offset")
