@@ -42,6 +42,25 @@ def test_cached_encoding_is_the_librarys(name):
     assert e.encode(texts[::-1])[::-1] == plain()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_of_letters_and_line_starts_have_the_librarys_ids(name):
+    """Latin letters take the short way to the model; other words, and words after a line end, do not differ."""
+    letters = [chr(c) for c in [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x180)]]
+    words = ["".join(letters[(k * 31 + j * (k + 7)) % len(letters)] for j in range(k % 15 + 1)) for k in range(900)]
+    words += ["x\u0301y", "Ångström", "\u212b", "слово", "漢字", "don't", "$$$a", "a.b,", "w" * 60]
+    texts = [" ".join(words[k::13]) for k in range(13)] + ["\n".join(words[k::7]) for k in range(7)] + [w + ",\n" + w + ". " + w for w in words]
+    e = encoder(name)
+    assert e.direct
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert e.encode(texts) == want
+    e.words = 50  # generations give way to each other
+    try:
+        assert [e.encode([t])[0] for t in texts[:200]] == want[:200]
+    finally:
+        e.words = 420_000
+    assert not any(len(w) > 48 for w in [*e.known, *e.bare])
+
+
 def test_packing_places_every_piece_once(spark):
     rows = ODD + [(100 + k, text(k, 3 * k)) for k in range(120)] + [(500 + k, text(k, 1500)) for k in range(6)] + [(700, text(1, 50)), (700, text(1, 50))]
     out = packing.pack(packing.pieces(docs(spark, rows), with_ids=True)).collect()
