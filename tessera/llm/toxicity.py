@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier.
 
 1. Terms (words, and word beginnings of 4 to 6 letters) are counted by label on a bounded sample of
-   labelled rows; those that go with a label become the vocabulary.
+   labelled rows; those that go with a label become the vocabulary.  A toxic term needs a fixed small
+   number of texts and a test of significance, no share of the toxic texts.
 2. Voters: the toxic words dealt into WORD_VOTERS lexicons, toxic beginnings of each length as
    patterns, harmless words in HARMLESS_VOTERS lexicons, the absence of any toxic term, shouting, and
    the label itself as one more voter that may err.  A voter says toxic, harmless or nothing.
@@ -35,9 +36,11 @@ from .langid import keep_rows
 from .neardup import shingles
 
 FIT_TOXIC, FIT_HARMLESS = 6000, 12000
+#: Toxic terms all stay, whatever their number; harmless ones take a quarter of this at most.
 VOCABULARY = 4000
-#: A toxic term is this many times as frequent in toxic texts, and occurs in one of SUPPORT toxic texts.
-LEAN, SUPPORT = 15, 100
+#: A toxic term is this many times as frequent in toxic texts, and occurs in at least SUPPORT of them.  The
+#: count is the same at every size: a share would shut out a language that has few of the toxic texts.
+LEAN, SUPPORT = 15, 5
 WORD_VOTERS, HARMLESS_VOTERS = 8, 3
 _BEGINNINGS = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -110,17 +113,23 @@ def _logistic(rows: list[np.ndarray], size: int, target: np.ndarray, ridge: floa
     return w[:size], float(w[size])
 
 
+def _surprise(a: int, b: int, n1: int, n0: int) -> float:
+    """Root of twice the log likelihood ratio of a and b against equal rates; of few texts z says too little."""
+    whole = (a + b) / (n1 + n0)
+    return np.sqrt(max(0.0, 2 * sum(x * np.log(x / (n * whole)) for x, n in ((a, n1), (b, n0)) if x)))
+
+
 def _choose(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> tuple[list[str], list[str]]:
     """Terms that go with label 1 and with label 0, the surest first."""
     toxic, harmless = [], []
     for t, (a, b) in counts.items():
         p, q = (a + 0.1) / (n1 + 1), (b + 0.1) / (n0 + 1)
         z = (p - q) / np.sqrt(p * (1 - min(p, 0.99)) / n1 + q * (1 - min(q, 0.99)) / n0)
-        if p > LEAN * q and z > 3:
+        if p > LEAN * q and a >= SUPPORT and (z > 3 or _surprise(a, b, n1, n0) > 4):
             toxic.append((-z, t))
         elif q > 1.3 * p and z < -3:
             harmless.append((z, t))
-    return [t for _, t in sorted(toxic)][: VOCABULARY * 3 // 4], [t for _, t in sorted(harmless)][: VOCABULARY // 4]
+    return [t for _, t in sorted(toxic)], [t for _, t in sorted(harmless)][: VOCABULARY // 4]
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_rows: int = FIT_TOXIC, harmless_rows: int = FIT_HARMLESS) -> ToxicityModel:
@@ -165,9 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_ro
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 1), sizes.get(0, 1)
     # terms of the sample that are not rare and lean to a side: bounded as the sample is
-    least = max(3, n1 // SUPPORT)
     lean = (F.col("a") + 0.1) / n1 / ((F.col("b") + 0.1) / n0)
-    counts = {r["term"]: (r["a"], r["b"]) for r in counted.where((F.col("a") >= least) & (lean > LEAN) | (F.col("b") >= n0 // 100 + 3) & (lean < 0.75)).collect()}
+    counts = {r["term"]: (r["a"], r["b"]) for r in counted.where((F.col("a") >= SUPPORT) & (lean > LEAN) | (F.col("b") >= n0 // 100 + 3) & (lean < 0.75)).collect()}
     toxic, harmless = _choose(counts, n1, n0)
     number = {t: k for k, t in enumerate([*toxic, *harmless])}
     names, group = _voters(toxic, harmless)

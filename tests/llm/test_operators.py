@@ -308,6 +308,33 @@ def test_toxicity(spark):
     assert all(r.score < 1e-6 for r in toxicity.score(table, toxicity.fit(table, marks.where("false"))).collect())
 
 
+def test_toxic_terms_of_a_language_with_few_of_the_toxic_rows(spark):
+    rng = np.random.default_rng(12)
+    spell = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    rare = [f"{a}{b}" for a in ("zor", "quen", "ilba", "umde") for b in ("mi", "ta", "xo", "ke", "ru")]
+    plain, bad, rows, labels = WORDS, ["vile", "moronic"], [], []
+
+    def make(i, toxic, small):
+        words = [f"{w}{spell(rng.integers(90))}" for w in rng.choice(rare if small else plain, 20)]
+        if toxic:
+            words[3] = ["tontazo", "brujeco", "patanu"][(i // 150 if i < 4500 else i) % 3] if small else bad[i % 2]
+        return i, " ".join(words)
+
+    for i in range(4500):  # 1500 toxic rows, 30 of them (2 %) in the small language
+        toxic, small = i % 3 == 0, i % 150 in (0, 1, 2, 4, 5)
+        rows.append(make(i, toxic, small))
+        labels.append((i, 1, int(toxic)))
+    for i in range(10_000, 10_240):  # not labelled
+        rows.append(make(i, i < 10_120, True))
+    table = docs(spark, rows)
+    assert sum(y for i, _, y in labels if i % 150 in (0, 1, 2, 4, 5)) == 30
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, toxicity.fit(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))).collect()}
+    assert np.mean([got[i] for i in range(10_000, 10_120)]) > 0.9
+    assert np.mean([got[i] for i in range(10_120, 10_240)]) < 0.05
+    counts = {f"t{k}": (20, 0) for k in range(toxicity.VOCABULARY)} | {"few": (4, 0), "all": (500, 1000)}
+    assert len(toxicity._choose(counts, 6000, 12_000)[0]) == toxicity.VOCABULARY
+
+
 def test_label_model_discounts_copies():
     rng = np.random.default_rng(10)
     y = rng.random(4000) < 0.3
