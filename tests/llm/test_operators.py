@@ -308,6 +308,18 @@ def test_toxicity(spark):
     assert all(r.score < 1e-6 for r in toxicity.score(table, toxicity.fit(table, marks.where("false"))).collect())
 
 
+def test_texts_of_two_languages_are_ambiguous(spark):
+    words = {"en": "the and of with this that was have from they".split(), "de": "der und nicht ist eine auch für über schön ich".split(), "fr": "le les est une dans avec être très où pas".split()}
+    write = lambda i, lang, n: " ".join(np.random.default_rng(i).choice(words[lang], n))
+    for langs in (["en", "de", "fr"], ["en", "de"]):
+        rows = [(i, write(i, langs[i % len(langs)], 40), langs[i % len(langs)]) for i in range(180)]
+        mixed = [(1000 + i, write(i, langs[i % len(langs)], 20) + " " + write(i, langs[(i + 1) % len(langs)], 20), None) for i in range(60)]
+        table = spark.createDataFrame([*rows, *mixed], "doc_id long, text string, lang string")
+        model = langid.fit(table, ~langid.held_out())
+        got = {r.doc_id: r.ambiguous for r in langid.identify(table, model).collect()}
+        assert np.mean([got[i] for i, _, _ in mixed]) > 0.9 and sum(got[i] for i, _, _ in rows) <= 2
+
+
 def test_toxic_terms_of_a_language_with_few_of_the_toxic_rows(spark):
     rng = np.random.default_rng(12)
     spell = lambda n: "".join(chr(97 + int(d)) for d in str(n))
