@@ -6,7 +6,8 @@ i + h; in round T + i every element competes for bin i; a bin keeps its least va
 when no bin is empty.  Each coordinate then agrees for two sets with the probability of their Jaccard
 similarity, concentrated like independent samples, in about O(n + T log T) steps.
 
-1. Documents with equal shingle sets are one class, named by the least id.
+1. Documents with equal shingle sets are one class, named by the least id.  If an id has several texts,
+   classes can share a name: a slot tells them apart, and all their sketches stand for the id.
 2. Classes that agree on one of BANDS bands of ROWS coordinates meet in a bucket.  At a similarity of
    0.8 a pair meets nowhere with probability (1 - 0.8^4)^30 = 1.4e-7.  Buckets with the same members
    are compared once.
@@ -21,7 +22,7 @@ more than 2 x BLOCK of them; the forests of the block pairs together link what t
 
 Defined results: null or blank texts have no shingles, link with nothing and are their own component;
 a text with fewer words than a shingle is one shingle; rows with a null id count only for n_shingles
-(component null, kept false); repeated ids share a result; other columns are never read.
+(component null, kept false); classes named by one repeated id share a component and the links of each; other columns are never read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, cut, ship
@@ -220,7 +221,7 @@ def _exact_links(words: int, percent: int):
                 lengths = edges[own + 1] - edges[own]
                 at = np.repeat(edges[own] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
                 both = np.bincount(owners[at], minlength=len(sets))[left]
-            return 100 * both >= percent * (sizes[i] + sizes[left] - both)
+            return (both > 0) & (100 * both >= percent * (sizes[i] + sizes[left] - both))
 
         return ids.to_pylist(), near
 
@@ -231,15 +232,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """doc_id, n_shingles, component_id, kept of each row."""
     spark = docs.sparkSession
     signed = cut(signatures(docs, words, id_col, text_col))
-    classes = cut(signed.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id")))
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("a", "b", "n").agg(F.min("doc_id").alias("id"))
+    classes = cut(classes.withColumn("slot", F.row_number().over(Window.partitionBy("id").orderBy("a", "b", "n"))))
     # the sketch of a class comes with the row of its least id
-    members = signed.where("n > 0").join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "bands", "coordinates").dropDuplicates(["id"])
+    members = signed.where("n > 0").join(classes, ["a", "b", "n"]).where("doc_id = id").select("id", "slot", "bands", "coordinates").dropDuplicates(["id", "slot"])
     members = cut(members)
-    rows = members.select("id", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")).where("size > 1")
+    rows = members.select("id", "slot", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id", "slot").cast("decimal(38,0)")).alias("who")).where("size > 1")
     buckets = buckets.groupBy("size", "who").agg(F.min("key").alias("key"))
-    meeting = _blocks(rows.join(buckets.select("key", "size"), "key"), "key", "size", "id").select("key", "__task", "id")
-    maybe = grouped(meeting.join(members.select("id", "coordinates"), "id").select("key", "__task", "id", "coordinates"), ["key", "__task"], _sketch_links)
+    meeting = _blocks(rows.join(buckets.select("key", "size"), "key"), "key", "size", "id").select("key", "__task", "id", "slot")
+    maybe = grouped(meeting.join(members.select("id", "slot", "coordinates"), ["id", "slot"]).select("key", "__task", "id", "coordinates"), ["key", "__task"], _sketch_links)
     clusters = cut(connected_components(maybe))
     sizes = clusters.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("size"))
     inside = clusters.select(F.col("node").alias("id"), "component").union(sizes.select(F.col("component").alias("id"), "component"))

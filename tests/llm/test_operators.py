@@ -144,6 +144,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert neardup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_a_repeated_id_keeps_the_links_of_all_its_texts(spark):
+    long = {k: " ".join(f"{k}{j}" for j in range(80)) for k in "pqr"}
+    rows = [(5, long["p"]), (5, long["q"]), (5, ""), (8, long["p"] + " more"), (9, long["q"] + " more"), (10, long["r"]), (11, long["r"]), (11, "")]
+    got = {(r.doc_id, r.n_shingles > 0): r.component_id for r in neardup.near_duplicates(docs(spark, rows), words=4).collect()}
+    assert [got[i, True] for i in (5, 8, 9, 10, 11)] == [5, 5, 5, 10, 10]
+
+
 def test_blocks_of_large_groups(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 5)
     rows = near_rows()
