@@ -49,6 +49,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete what cut() wrote of df, when nothing reads it any more."""
+    spark = df.sparkSession
+    written = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if written.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(written.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once for each application, so that their Python can import it."""
     sc = spark.sparkContext

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import claim, remainder, ship
-from .packing import steps
+from .steps import steps
 
 BUCKETS, ORDERS, FIT_ROWS = 1 << 15, (1, 2, 3), 4000
 #: A text is ambiguous if its gap is under this part of the gap that 99 of 100 fitted texts reach.

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import claim, ship
 from .encoding import token_path
 from .neardup import mix
-from .packing import steps
+from .steps import steps
 
 MODEL, SHIFT, ALPHA, SAMPLES, SEED = "piece_bpe_32k.model", 2.7, 1.0, 2, 11
 _STEP = 3 << 20

@@ -26,18 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import claim, cut, ship
 from .encoding import encoder
+from .steps import STEP_BYTES, steps
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Rows of one length that are numbered in one task.
 RANK_ROWS = 100_000
-#: Bytes of text encoded at once by a worker.
-STEP_BYTES = 4 << 20
 
 
 class _Plan:
@@ -167,18 +165,6 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, kind)
 
 
-def steps(batch: pa.RecordBatch, column: int = 1, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about so many bytes of text; a longer text is a run of its own."""
-    if not batch.num_rows:
-        return
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
-    marks = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0) > 0)
-    edges = [0, *[int(m) for m in marks if m], batch.num_rows]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Rows with a length from 1 to capacity get sequence_id (long) and offset (long)."""
     spark = parts.sparkSession

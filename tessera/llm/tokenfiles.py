@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, parallelism, ship
 from .encoding import encoder
-from .packing import steps
+from .steps import steps
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 MAGIC = b"TOKENEF1"

@@ -151,13 +151,32 @@ def test_a_repeated_id_keeps_the_links_of_all_its_texts(spark):
     assert [got[i, True] for i in (5, 8, 9, 10, 11)] == [5, 5, 5, 10, 10]
 
 
-def test_blocks_of_large_groups(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 5)
-    rows = near_rows()
+@pytest.mark.parametrize("block, shingles, anchors", [(5, 1_000_000, 2), (5, 1_000_000, 0), (1500, 300, 1), (3, 150, 0)])
+def test_groups_too_large_for_a_task(spark, monkeypatch, block, shingles, anchors):
+    """Chunks, anchors, then strays against what is left: the same result, however groups are dealt."""
+    for name, value in (("BLOCK", block), ("SHINGLES", shingles), ("ANCHORS", anchors), ("SALTS", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = np.random.default_rng(4)
+    base = [f"w{rng.integers(400)}" for _ in range(120)]
+    # one group of 60, in it texts that are near some of the others only
+    hot = [(5000 + k, " ".join(w if rng.random() > (0.01 + 0.03 * (k % 4 == 0)) else f"x{rng.integers(9999)}" for w in base)) for k in range(60)]
+    rows = near_rows() + hot
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs(spark, rows), words=4).collect()), key=str)
     assert got == brute_groups(rows)
 
 
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    from tessera.llm import components
+
+    monkeypatch.setattr(components, "HUB_EDGES", 20)
+    monkeypatch.setattr(components, "HUBS", 5)
+    edges = [(1, k) for k in range(100, 300)] + [(500, k) for k in range(280, 480)] + [(k, k + 1) for k in range(600, 640)] + [(640, 479), (900, 901)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {x: 900 if x == 901 else 1 for e in edges for x in e} 
+    assert got == {x: c for x, c in want.items() if x not in (1, 900)}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_sketch_agreement_follows_similarity():
     rng, agree = np.random.default_rng(1), []
     for _ in range(200):
