@@ -4,18 +4,23 @@ Entities: e-mail addresses, telephone numbers, payment cards, social security nu
 addresses, access keys, assigned secrets (password=..., token: "...") and names after a title.  An
 entity's surrogate is drawn from SHA-256 of (key, kind, normal form, attempt): the same entity has the
 same surrogate wherever and however it is written (coreference), nothing is kept that could undo it,
-and it is dressed as the entity was: digits stand where digits stood, upper case where upper case
-stood, cards (numbers with a valid check digit) keep their issuer's digit and validity, telephone numbers their country code,
-keys their prefix, names the gender of their title and their script.  Parts of a name are entities of
-their own, so `Mrs. Ada Byron`, `Mrs. Byron` and a later `Byron` in the same text agree.
+and it is dressed as the entity was: digits stand where digits stood, letters of a script where letters of
+that script stood, upper case where upper case stood.  Cards (numbers with a valid check digit) keep their
+issuer's digit and validity, telephone numbers their country code (after + or 00; a North American number
+without it is the same entity as with it), IBANs their country and get valid check digits, keys keep their
+prefix, names the gender of their title and their script.  Parts of a name are entities of their own, so
+`Mrs. Ada Byron`, `Mrs. Byron` and a later `Byron` in the same text agree.
 
 Distinctness: all entities of the corpus and their surrogates are compared; of two with the same
 surrogate, and for a surrogate that is itself an entity of the corpus, the attempt is raised until none
-collides.  Only documents that hold such an entity need the table of raised attempts; for all
+collides; names of all genders and family names are compared with each other.  Surrogates of free length grow with
+the attempt, so crowded short forms find room; if ROUNDS attempts leave collisions (a fixed format is
+all used up), an error says so.  Only documents that hold such an entity need the table of raised attempts; for all
 others the surrogate is an expression of the text alone and the documents don't move.
 
-Defined results: null texts stay null, texts without entities stay as they are; null and repeated ids
-are treated by their text; an empty table gives no rows; other columns pass through untouched, also
+Defined results: null texts stay null, texts without entities stay as they are; a secret without a letter or
+digit (`password: ********`) is no entity; null and repeated ids are treated by their text; an empty table
+gives no rows; other columns pass through untouched whatever their names are, also
 if they carry the name of a result column (then the result replaces it).
 """
 
@@ -27,17 +32,22 @@ from pyspark.sql import functions as F
 from .common import cut
 
 # Titles by gender, and syllables that names are made of.
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "г-н"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "госпожа", "г-жа"]
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "господин", "г-н", "Κύριος", "κ"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "госпожа", "г-жа", "Κυρία", "κα"]
 OTHER_TITLES = ["Dr", "Prof"]
 LATIN = ["al", "ba", "bel", "cor", "da", "del", "er", "fa", "gar", "han", "il", "jo", "ka", "lan", "mar", "mi", "na", "nor", "ol", "pa", "per", "ra", "ro", "sal", "sen", "ta", "tor", "ul", "van", "ver", "wil", "yor"]
 CYRILLIC = ["ал", "ба", "бел", "вар", "вол", "га", "гор", "да", "дем", "ер", "жа", "зо", "ил", "ка", "кор", "лан", "ле", "мар", "ми", "на", "ник", "ор", "па", "пет", "ра", "ром", "са", "сев", "та", "тим", "фе", "юр"]
+GREEK = ["αλ", "βα", "γα", "δη", "ερ", "ζη", "θε", "ιλ", "κα", "κορ", "λαμ", "λε", "μαρ", "μι", "να", "νικ", "ορ", "πα", "πετ", "ρα", "ρο", "σα", "σταυ", "τα", "τιμ", "φι", "χρι", "ψα"]
 ENDINGS = {
-    "male": {"latin": ["o", "en", "ard", "us", "on", "ert", "im", "ias"], "cyrillic": ["ан", "ил", "ей", "ор", "ир", "им", "ий", "ав"]},
-    "female": {"latin": ["a", "ina", "elle", "ia", "ette", "ara", "is", "ine"], "cyrillic": ["а", "ина", "ия", "ья", "ела", "ара", "на", "ита"]},
-    "other": {"latin": ["el", "in", "an", "y", "is", "ey", "e", "ar"], "cyrillic": ["я", "и", "а", "ша", "ня", "ка", "ля", "ся"]},
-    "family": {"latin": ["son", "berg", "mann", "ley", "ton", "ez", "ier", "feld"], "cyrillic": ["ов", "ин", "ский", "енко", "ев", "ук", "ян", "ых"]},
+    "male": {"latin": ["o", "en", "ard", "us", "on", "ert", "im", "ias"], "cyrillic": ["ан", "ил", "ей", "ор", "ир", "им", "ий", "ав"], "greek": ["ος", "ης", "ας", "ων", "έας", "ις", "ιος", "άς"]},
+    "female": {"latin": ["a", "ina", "elle", "ia", "ette", "ara", "is", "ine"], "cyrillic": ["а", "ина", "ия", "ья", "ела", "ара", "на", "ита"], "greek": ["α", "η", "ία", "ούλα", "ώ", "ένα", "ίνα", "άνα"]},
+    "other": {"latin": ["el", "in", "an", "y", "is", "ey", "e", "ar"], "cyrillic": ["я", "и", "а", "ша", "ня", "ка", "ля", "ся"], "greek": ["ι", "υς", "άκης", "ος", "ου", "ίτσα", "ας", "ης"]},
+    "family": {"latin": ["son", "berg", "mann", "ley", "ton", "ez", "ier", "feld"], "cyrillic": ["ов", "ин", "ский", "енко", "ев", "ук", "ян", "ых"], "greek": ["όπουλος", "ίδης", "άκης", "έας", "άκος", "ιάδης", "άτος", "ούδης"]},
 }
+# Country calling codes of one and two digits; all others have three.
+CALLING_CODE = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Attempts at a surrogate; from WIDER on, those of free length grow.
+ROUNDS, WIDER = 60, 4
 
 _TITLES = "|".join([*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES])
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)?"
@@ -45,13 +55,13 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # In the order in which they are tried at a place.
 PATTERNS = {
     "secret": r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?[A-Za-z0-9+/_.~!@#$%^&*-]{6,}",
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]*@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "key": r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])",
     "card": r"[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\d])|3\d{3}[ -]?\d{6}[ -]?\d{5}(?!\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
-    "phone": r"(?:\+|00)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|\d{3}[-.]\d{3}[-.]\d{4}(?!\d)",
+    "phone": r"(?:\+|00(?=\d*[ .(-]))1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?:\+|00(?=\d*[ .(-]))\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|\d{3}[-.]\d{3}[-.]\d{4}(?!\d)",
     "person": rf"(?:{_TITLES})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 _ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
@@ -59,10 +69,14 @@ _SECRET_HEAD = r"^(?i:[a-z_-]+)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
 
 
 def _kind(m: Column) -> Column:
-    """The kind of a match; a number that only looks like a card (its check digit is wrong) is no entity."""
+    """The kind of a match; what only looks like a card (its check digit is wrong) or a secret (all symbols) is no entity."""
     out = F.lit("person")
     for kind in reversed(list(PATTERNS)[:-1]):
-        named = F.when(_luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0, kind).otherwise("number") if kind == "card" else F.lit(kind)
+        named = F.lit(kind)
+        if kind == "card":
+            named = F.when(_luhn_sum(F.regexp_replace(m, "[^0-9]", "")) % 10 == 0, kind).otherwise("number")
+        elif kind == "secret":
+            named = F.when(F.regexp_replace(m, _SECRET_HEAD, "").rlike("[A-Za-z0-9]"), kind).otherwise("number")
         out = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), named).otherwise(out)
     return out
 
@@ -77,7 +91,9 @@ def _units(m: Column) -> Column:
     kind = _kind(m)
     unit = lambda k, norm, surface: F.struct(k.alias("kind"), norm.alias("norm"), surface.alias("surface"))
     value = F.when(kind == "secret", F.regexp_replace(m, _SECRET_HEAD, "")).otherwise(m)
-    norm = F.when(kind == "email", F.lower(m)).when(kind.isin("card", "ssn", "phone"), F.regexp_replace(m, r"[^0-9]", "")).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(value)
+    digits = F.regexp_replace(m, r"[^0-9]", "")
+    called = F.when(m.startswith("00"), F.substring(digits, F.lit(3), F.length(digits))).when(m.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits))
+    norm = F.when(kind == "email", F.lower(m)).when(kind == "phone", called).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(value)
     words = F.split(m, " ")
     names = F.slice(words, 2, 3)
     last = F.size(names) - 1
@@ -96,16 +112,32 @@ def _one_of(values: str | list[str], d: Column, i: Column | int) -> Column:
 
 
 _CHARS = r"(?s)(.)"
-_LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_LOW, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_CYRILLIC_LOW, _GREEK_LOW = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
 def _shape(s: Column, d: Column, keep: Column | int = 0, letters: str = _LOW) -> Column:
-    """Letters for letters, digits for digits, the rest and the first `keep` characters as they are."""
+    """Letters for letters of a script and case, digits for digits, the rest and the first `keep` characters as they are."""
     chars = F.regexp_extract_all(s, F.lit(_CHARS), 1)
-    to = lambda c, i: F.when(i < keep, c).when(c.rlike("[0-9]"), _one_of(_DIGITS, d, i)).when(c.rlike("[a-z]"), _one_of(letters, d, i)).when(c.rlike("[A-Z]"), F.upper(_one_of(letters, d, i))).otherwise(c)
+
+    def to(c: Column, i: Column) -> Column:
+        letter = F.when(c.rlike(r"\p{IsCyrillic}"), _one_of(_CYRILLIC_LOW, d, i)).when(c.rlike(r"\p{IsGreek}"), _one_of(_GREEK_LOW, d, i)).otherwise(_one_of(letters, d, i))
+        return F.when(i < keep, c).when(c.rlike(r"\d"), _one_of(_DIGITS, d, i)).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+
     return F.array_join(F.transform(chars, to), "")
 
 
+def _more(attempt: Column, d: Column) -> Column:
+    """Letters that late attempts add, so that there is room beyond a crowded short form."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), attempt - WIDER + 1)), lambda i: F.when(attempt < WIDER, "").otherwise(_one_of(_LOW, d, i + 500))), "")
+
+
+def _mod_97(s: Column) -> Column:
+    """The remainder of a string of digits and capital letters (A = 10 to Z = 35), as IBANs are checked."""
+    chars = F.regexp_extract_all(s, F.lit(_CHARS), 1)
+    return F.aggregate(chars, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), F.pmod(a * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97))))
+
+
 def _luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a string of digits, the last one not doubled."""
     d = F.reverse(F.regexp_extract_all(digits, F.lit(_CHARS), 1))
@@ -120,26 +152,37 @@ def _fake(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     card = F.concat(body, _shape(F.substring(norm, F.lit(1), F.length(norm) - 1), d, 1))
     check = F.when(_luhn_sum(norm) % 10 == 0, ((10 - _luhn_sum(F.concat(card, F.lit("0"))) % 10) % 10).cast("string")).otherwise(_one_of(_DIGITS, d, 99))
     ip = F.concat_ws(".", *[(_pick(d, i, n) + a).cast("string") for i, (a, n) in enumerate(((11, 200), (0, 256), (0, 256), (1, 254)))])
-    tail = F.regexp_extract(norm, r"(\.[a-z]{2,})$", 1)
-    email = F.concat(_shape(F.substring(norm, F.lit(1), F.length(norm) - F.length(tail)), d), tail)
+    tail = F.regexp_extract(norm, r"(\.\p{L}{2,})$", 1)
+    more = _more(attempt, d)
+    email = F.concat(more, _shape(F.substring(norm, F.lit(1), F.length(norm) - F.length(tail)), d), tail)
     hexed = norm.rlike("^[0-9a-f]+$")
+    country, account = F.substring(norm, 1, 2), _shape(F.substring(norm, F.lit(5), F.length(norm)), d)
+    iban = F.concat(country, F.lpad((98 - _mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
     names = F.lit("")
-    for script, syllables in (("latin", LATIN), ("cyrillic", CYRILLIC)):
+    syllables_of = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK}
+    for script, syllables in syllables_of.items():
         stem = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 1), lambda i: _one_of(syllables, d, i)), "")
         end = F.lit("")
         for gender, endings in ENDINGS.items():
             end = F.when(kind == gender, _one_of(endings[script], d, 99)).otherwise(end)
-        names = F.when(norm.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"), F.concat(stem, end)).otherwise(names)
+        names = F.when(norm.rlike(rf"\p{{Is{script.capitalize()}}}"), F.concat(stem, end)).otherwise(names)
+    # a name in another script: letters of its own, longer with each attempt
+    own = F.regexp_extract_all(norm, F.lit(_CHARS), 1)
+    other = F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm) + attempt), lambda i: F.element_at(own, _pick(d, i, F.length(norm)) + 1)), "")
+    known = F.lit(False)
+    for script in syllables_of:
+        known = known | norm.rlike(rf"\p{{Is{script.capitalize()}}}")
     return (
         F.when(kind == "email", email)
         .when(kind == "card", F.concat(card, check))
         .when(kind == "ip", ip)
-        .when(kind == "phone", _shape(norm, d, 1))
+        .when(kind == "phone", _shape(norm, d, F.length(F.regexp_extract(norm, CALLING_CODE, 0))))
         .when(kind == "ssn", _shape(norm, d))
-        .when(kind == "iban", _shape(norm, d, 2))
+        .when(kind == "iban", iban)
         .when(kind == "key", F.upper(_shape(norm, d, 4)))
-        .when(kind == "secret", F.when(hexed, _shape(norm, d, 0, "abcdef")).otherwise(_shape(norm, d)))
-        .otherwise(names)
+        .when(kind == "secret", F.concat(F.when(hexed, _shape(norm, d, 0, "abcdef")).otherwise(_shape(norm, d)), more))
+        .when(known, names)
+        .otherwise(other)
     )
 
 
@@ -148,11 +191,16 @@ def _dress(kind: Column, fake: Column, surface: Column) -> Column:
     chars = F.regexp_extract_all(surface, F.lit(_CHARS), 1)
     before = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), "[^0-9]", ""))
     digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(fake, before(i), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(fake, i + 1, F.lit(1)))).otherwise(F.substring(fake, i + 1, F.lit(1)))), "")
+    # a telephone number without its country code takes the last digits; the zeros before a country code stay
+    zeros = F.when(surface.startswith("00"), 2).otherwise(0)
+    skip = F.when(surface.startswith("+") | surface.startswith("00"), -zeros).otherwise(F.length(fake) - F.length(F.regexp_replace(surface, "[^0-9]", "")))
+    phone = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]") & (before(i) > zeros), F.substring(fake, before(i) + skip, F.lit(1))).otherwise(c)), "")
+    longer = F.length(fake) - F.length(surface)
+    cased = F.concat(F.substring(fake, F.lit(1), longer), F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(fake, i + 1 + longer, F.lit(1)))).otherwise(F.substring(fake, i + 1 + longer, F.lit(1)))), ""))
     solid = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), " ", ""))
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(fake, solid(i), F.lit(1)))), "")
     name = F.when(surface.rlike(r"^\p{Lu}{2,}$"), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.expr("''"), F.substring(fake, F.lit(2), F.length(fake))))
-    return F.when(kind == "number", surface).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "key", "secret"), fake).otherwise(name)
+    return F.when(kind == "number", surface).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "key", "secret"), fake).otherwise(name)
 
 
 def entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -164,29 +212,36 @@ def entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
 
 def raised(found: DataFrame, key: str) -> DataFrame:
     """kind, norm, attempt of the entities whose first surrogate collides."""
-    own = cut(found.select("kind", "norm").distinct())
+    # names of all kinds are told apart from each other
+    space = F.when(F.col("kind").isin(*ENDINGS), "name").otherwise(F.col("kind")).alias("space")
+    own = cut(found.select(space, "kind", "norm").distinct())
+    real = own.select(F.col("space").alias("s"), F.col("norm").alias("real")).distinct()
     table = own.withColumn("attempt", F.lit(0))
-    while True:
-        table = table.select("kind", "norm", "attempt", _fake(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("fake"))
-        first = table.groupBy("kind", "fake").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count(F.lit(1)).alias("n"))
-        real = own.select(F.col("kind").alias("k"), F.col("norm").alias("real"))
-        marked = table.join(first, ["kind", "fake"]).join(real, (F.col("kind") == F.col("k")) & (F.col("fake") == F.col("real")), "left")
-        bad = F.col("real").isNotNull() | ((F.col("n") > 1) & (F.col("norm") != F.col("first.norm")))
-        table = cut(marked.select("kind", "norm", (F.col("attempt") + bad.cast("int")).alias("attempt"), bad.alias("bad")))
+    for _ in range(ROUNDS):
+        table = table.select("space", "kind", "norm", "attempt", _fake(F.col("kind"), F.col("norm"), F.col("attempt"), key).alias("fake"))
+        first = table.groupBy("space", "fake").agg(F.min(F.struct("attempt", "norm", "kind")).alias("first"), F.count(F.lit(1)).alias("n"))
+        marked = table.join(first, ["space", "fake"]).join(real, (F.col("space") == F.col("s")) & (F.col("fake") == F.col("real")), "left")
+        bad = F.col("real").isNotNull() | ((F.col("n") > 1) & ((F.col("norm") != F.col("first.norm")) | (F.col("kind") != F.col("first.kind"))))
+        table = cut(marked.select("space", "kind", "norm", (F.col("attempt") + bad.cast("int")).alias("attempt"), bad.alias("bad")))
         if table.where("bad").limit(1).count() == 0:
             return table.where("attempt > 0").select("kind", "norm", "attempt")
+    crowded = sorted(r["kind"] for r in table.where("bad").select("kind").distinct().collect())  # at most one row a kind
+    raise RuntimeError(f"no distinct surrogates are left after {ROUNDS} attempts for entities of kind {', '.join(crowded)}")
 
 
 def replace(docs: DataFrame, key: str = "tessera", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows with surrogates in the text; n_entities tells how many places changed."""
     found = cut(entities(docs, text_col, id_col))
     bumped = cut(raised(found, key))
-    text = F.col(f"`{text_col}`")
-    rows = docs
+    # columns by place, so that no name of the caller's meets one of these
+    names = docs.columns
+    place = {c: f"c{k}" for k, c in enumerate(names)}
+    rows = docs.toDF(*place.values())
+    text = F.col(place[text_col])
     attempts = F.lit(None).cast("map<string,int>")
     if bumped.limit(1).count():
         by_doc = found.join(bumped, ["kind", "norm"]).dropDuplicates(["doc_id", "kind", "norm"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "norm"), "attempt"))).alias("__attempts"))
-        rows = docs.join(by_doc.withColumnRenamed("doc_id", "__id"), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left").drop("__id")
+        rows = rows.join(by_doc.withColumnRenamed("doc_id", "__id"), F.col(place[id_col]).eqNullSafe(F.col("__id")), "left").drop("__id")
         attempts = F.col("__attempts")
 
     def surrogate(u: Column) -> Column:
@@ -205,5 +260,5 @@ def replace(docs: DataFrame, key: str = "tessera", text_col: str = "text", id_co
     bare = F.aggregate(family, F.col("__woven"), lambda acc, u: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), u["surface"], F.lit(r"(?![\p{L}\p{N}])")), surrogate(u)))
     own = {text_col: F.when(F.size("__m") > 0, bare).otherwise(text), "n_entities": F.coalesce(F.size(F.filter("__m", lambda m: _kind(m) != "number")), F.lit(0))}
     rows = rows.withColumn("__m", matches).withColumn("__woven", F.when(F.size("__m") > 0, woven))
-    columns = [own[c].alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*columns, *([own["n_entities"].alias("n_entities")] if "n_entities" not in docs.columns else []))
+    columns = [own.get(c, F.col(place[c])).alias(c) for c in names]
+    return rows.select(*columns, *([own["n_entities"].alias("n_entities")] if "n_entities" not in names else []))
