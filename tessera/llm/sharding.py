@@ -90,17 +90,18 @@ def _at_least(splitter: tuple[int, ...]) -> Column:
 
 def histogram_shards(docs: DataFrame, shards: int = 16, columns: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with size, text_crc32, law, shard, slot and grown_shard, in key order by shard and slot."""
+    # carried columns by place, so that no name of the caller's meets one of these
+    names = docs.columns if columns is None else columns
     text = F.col(f"`{text_col}`")
     keyed = docs.select(
-        *[F.col(f"`{c}`") for c in (docs.columns if columns is None else columns)],
+        *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)],
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("__h"),
         F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("__g"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("__size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("__crc"),
     )
-    carried = [c for c in keyed.columns if not c.startswith("__")]
-    keys = cut(keyed.select("__h", "__g", "__size") if text_col in carried else keyed)
-    rows = keyed if text_col in carried else keys
+    keys = cut(keyed.select("__h", "__g", "__size") if text_col in names else keyed)
+    rows = keyed if text_col in names else keys
     bounds = splitters(keys, shards)
     shard = reduce(lambda a, b: a + b, [_at_least(b).cast("int") for b in bounds], F.lit(0))
     # Cells are the probes of the first pass; one with many rows is dealt further by id.
@@ -114,4 +115,4 @@ def histogram_shards(docs: DataFrame, shards: int = 16, columns: list[str] | Non
     ranked = placed(rows).withColumn("__rn", F.row_number().over(Window.partitionBy("__shard", "__cell").orderBy("__h", "__g")) - 1)
     ranked = ranked.join(below, (F.col("__shard") == F.col("s")) & (F.col("__cell") == F.col("c")))
     own = {"size": F.col("__size"), "text_crc32": F.col("__crc"), "law": F.lit("bytes"), "shard": F.col("__shard"), "slot": (F.col("__below") + F.col("__rn")).cast("long"), "grown_shard": F.lit(None).cast("int")}
-    return ranked.select(*[F.col(f"`{c}`") for c in carried if c not in own], *[e.alias(n) for n, e in own.items()])
+    return ranked.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names) if c not in own], *[e.alias(n) for n, e in own.items()])
