@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -88,14 +89,31 @@ def claim(owner: str, forget=None) -> None:
         _holder[:] = [owner, forget]
 
 
-def _give_back() -> None:
+def _give_back(cycles: bool = True) -> None:
     """Freed memory goes back to the system, where the allocators keep it."""
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(batches: Iterator[pa.RecordBatch], every: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches; what a worker has freed goes back to the system after so many bytes and at the end.
+
+    Workers live on between tasks; without this each would keep the memory of the largest step it has seen.
+    """
+    passed = 0
+    for batch in batches:
+        passed += batch.nbytes
+        yield batch
+        if passed >= every:
+            del batch
+            _give_back(cycles=False)
+            passed = 0
+    _give_back(cycles=False)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -105,14 +123,10 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
-def slim(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; other columns, whatever they are called, never meet the operator's own."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def sampled(h: Column, fraction: float) -> Column:
+    """Whether a 64-bit hash falls under a fraction of its range, however small the fraction is."""
+    return F.lit(True) if fraction >= 1 else h < F.lit(max(-(2**63) + 1, int(-(2**63) + fraction * 2.0**64))).cast("long")
 
 
-def long(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())
+def parallelism(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -21,9 +21,9 @@ that sorts first; columns other than text are never inputs.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, remainder, ship
+from .common import claim, remainder, sampled, ship, trimmed
 from .steps import steps
 
 BUCKETS, ORDERS, FIT_ROWS = 1 << 15, (1, 2, 3), 4000
 #: A text is ambiguous if its gap is under this part of the gap that 99 of 100 fitted texts reach.
 AMBIGUOUS = 0.6
 _SLICE, _STEP = 1 << 18, 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
 _letters: list[np.ndarray] = []
 
 
@@ -48,6 +47,11 @@ def _is_letter() -> np.ndarray:
     return _letters[0]
 
 
+def has_letter(text: str) -> bool:
+    """Whether n-grams see more than blanks in a text."""
+    return any(map(str.isalpha, text.lower()))
+
+
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, bucket) of the n-grams of texts, in slices."""
     codes, owner = [], []
@@ -113,7 +117,7 @@ class LanguageModel:
         """Languages, scores from 0 to 1, ambiguity."""
         claim("languages")
         lang, score, unsure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        at = [k for k, t in enumerate(texts) if t and _LETTER.search(t)]
+        at = [k for k, t in enumerate(texts) if t and has_letter(t)]
         if not at or not self.languages:
             return lang, score, unsure
         raw = self.margins([texts[k] for k in at]) * self.scale + self.shift
@@ -132,15 +136,14 @@ def fit(docs: DataFrame, rows: Column | None = None, most: int = FIT_ROWS, text_
     """Fit on the labelled rows for which `rows` holds, at most about `most` of each language."""
     ship(docs.sparkSession)
     good = F.col(f"`{lang_col}`").isNotNull() & (F.col(f"`{lang_col}`") != "und") & (rows if rows is not None else F.lit(True))
-    table = docs.where(good).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`")).alias("h"))
+    table = docs.where(good).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"))
     there = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     languages = sorted(there)
     code = codewords(len(languages))
     if not languages:
         return LanguageModel([], code, np.zeros((1, BUCKETS)), np.ones(1), np.zeros(1), np.ones(1))
     number = {x: k for k, x in enumerate(languages)}
-    share = F.element_at(F.create_map(*[F.lit(v) for x in languages for v in (x, int(min(1.0, most / there[x]) * 1_000_000))]), F.col("lang"))
-    chosen = table.where(F.pmod("h", F.lit(1_000_000)) < share).select("lang", "text")
+    chosen = table.where(reduce(lambda c, x: c.when(F.col("lang") == x, sampled(F.col("h"), most / there[x])), languages[1:], F.when(F.col("lang") == languages[0], sampled(F.col("h"), most / there[languages[0]])))).select("lang", "text", "h")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(languages), BUCKETS), np.int64)
@@ -168,7 +171,10 @@ def fit(docs: DataFrame, rows: Column | None = None, most: int = FIT_ROWS, text_
                 lang = [number[x] for x in some.column(0).to_pylist()]
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.int32()), "m": pa.array(m.tolist(), pa.list_(pa.float64()))})
 
-    seen = chosen.mapInArrow(margins, "lang int, m array<double>").toPandas()  # at most `most` rows a language
+    # about `most` rows a language; repeated rows, which share a hash, once
+    seen = chosen.dropDuplicates(["lang", "h"]).mapInArrow(margins, "lang int, m array<double>").toPandas()
+    if not len(seen):
+        raise ValueError(f"no labelled row was sampled of {sum(there.values())}: raise most ({most})")
     m, y = np.array(seen["m"].tolist()), code[seen["lang"].to_numpy()]
     for b in range(bits):
         model.scale[b], model.shift[b] = _logistic(m[:, b], y[:, b])
@@ -197,7 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in steps(batch, 1, _STEP):
                 lang, score, unsure = model.predict(some.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(lang), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
@@ -218,7 +224,7 @@ def keep_rows(docs: DataFrame, text_col: str, keep) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in steps(batch, at, _STEP):
                 yield some.filter(pa.array(np.asarray(keep(some.column(at).to_pylist()), bool)))
 

@@ -8,10 +8,12 @@ against brute force, the walk must have met AIM of the true neighbours.  Distanc
 product, which adds up over the halves.  Rows of the visited cells are reranked by the exact inner
 product of the original vectors.
 
-Cells are laid out in blocks of about BLOCK rows; a cell with more rows spreads over several blocks by
+The codebooks grow with the table: about ROWS_A_CELL rows a cell, so that a walk costs about what the
+rows of its cells cost, up to SAMPLE / 16 centroids.  Cells are laid out in blocks of about BLOCK rows, near ones together (squares of
+TILE x TILE centroids, those of a half in the order of their main direction); a cell with more rows spreads over several blocks by
 id, so a vector that a third of the rows share is scanned by many tasks.  Copies count once in the walk
 (cells are counted by distinct vectors), so a crowded cell doesn't end it early.  Queries meet blocks in
-tiles of about QUERY_TILE.
+tiles of about QUERY_TILE; there, a cell's rows are multiplied with the queries that visit the cell and no others.
 
 Defined results: those of exact top-k search (topk.py), but zero vectors take no part.
 """
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, sampled, ship
 from .topk import QUERY_TILE, matrix, merge, select, tile_pairs, usable
 
-SAMPLE, AIM, BLOCK, MOST_CENTROIDS = 20_000, 0.94, 4096, 32
+SAMPLE, AIM, BLOCK, ROWS_A_CELL, TILE = 20_000, 0.94, 4096, 48, 8
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -49,6 +51,16 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
 
 
+def layout(books: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """All cells, near ones after each other."""
+    place = []
+    for c in books:
+        main = np.linalg.svd(c - c.mean(0), full_matrices=False)[2][0] if c.shape[1] else np.zeros(0)
+        place.append(np.argsort(np.argsort(c @ main, kind="stable")))
+    a, b = np.repeat(place[0], len(place[1])), np.tile(place[1], len(place[0]))
+    return np.lexsort((b, a, b // TILE, a // TILE))
+
+
 def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: float) -> list[int]:
     """Cells from the least sum of distances on, until they hold `enough`; counts: first x second."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -106,11 +118,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int =
     spark = vectors.sparkSession
     ship(spark)
     table, d, n = usable(vectors, id_col, vector_col, zero=False)
-    taken = table.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < int(min(1.0, sample_rows / max(1, n)) * 1_000_000)).select("v")
+    taken = table.where(sampled(F.xxhash64("id", F.lit(1)), sample_rows / max(1, n))).select("v")
     sample = np.array([r["v"] for r in taken.toLocalIterator()], np.float64).reshape(-1, d)  # about sample_rows vectors
+    if n and not len(sample):
+        raise ValueError(f"no vector was sampled of {n}: raise sample_rows ({sample_rows})")
     if not len(sample):
         sample = np.zeros((1, d))
-    index = MultiIndex(sample, k, max(4, min(MOST_CENTROIDS, int((min(n, 16 * len(sample)) / 4) ** 0.5))), aim)
+    index = MultiIndex(sample, k, max(4, min(int((n / ROWS_A_CELL) ** 0.5), len(sample) // 16)), aim)
     width, cells = len(index.books[1]), len(index.books[0]) * len(index.books[1])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +142,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int =
     parts = np.maximum(1, -(-rows // BLOCK))
     base = np.zeros(cells, np.int64)
     block, filled = 0, 0
-    for c in np.flatnonzero(rows):
+    for c in (c for c in layout(index.books) if rows[c]):
         if parts[c] > 1 or filled + rows[c] > BLOCK:
             block, filled = block + (filled > 0), 0
         base[c] = block
@@ -136,7 +150,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int =
         if parts[c] > 1:
             block, filled = block + int(parts[c]), 0
     blocks = block + 1
-    enough, counts = index.share * distinct.sum(), distinct.reshape(-1, width)
+    # at least k rows besides the query's own, where there are as many
+    enough, counts = max(index.share * distinct.sum(), min(k + 1, distinct.sum())), distinct.reshape(-1, width)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,13 +184,26 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int =
     there = placed.mapInArrow(locate, "id long, v array<double>, cell int, block long").withColumn("qt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_tiles - 1).cast("long"))))
 
     def run(left: pa.Table, right: pa.Table) -> Iterator[tuple]:
+        order = pa.array(np.argsort(right.column("cell").to_numpy(), kind="stable"))
+        right = right.take(order)
         q, x = matrix(left, "v", d), matrix(right, "v", d)
-        ids, names, cell = right.column("id").to_numpy(), *np.unique(right.column("cell").to_numpy(), return_inverse=True)
+        ids, (names, starts) = right.column("id").to_numpy(), np.unique(right.column("cell").to_numpy(), return_index=True)
+        ends, number = np.append(starts[1:], len(x)), {int(c): j for j, c in enumerate(names)}
+        queries = left.column("id").to_numpy()
         for a in range(0, len(q), 256):
-            scores = q[a : a + 256] @ x.T
-            for query, v, visited, row in zip(left.column("id").to_numpy()[a : a + 256], q[a : a + 256], left.column("cells")[a : a + 256].to_pylist(), scores):
-                open_ = np.flatnonzero(np.isin(names, visited)[cell] & (ids != query))
-                at = open_[select(row[open_], ids[open_], k, 1e-9 * (1 + np.abs(row).max()))]
+            some = q[a : a + 256]
+            visits = np.zeros((len(names), len(some)), bool)
+            for i, cells_ in enumerate(left.column("cells")[a : a + 256].to_pylist()):
+                visits[[number[c] for c in cells_ if c in number], i] = True
+            scores = np.full((len(some), len(x)), -np.inf)
+            for j in np.flatnonzero(visits.any(1)):
+                at = np.flatnonzero(visits[j])
+                scores[at, starts[j] : ends[j]] = some[at] @ x[starts[j] : ends[j]].T
+            for query, v, row in zip(queries[a : a + 256], some, scores):
+                open_ = np.flatnonzero((row > -np.inf) & (ids != query))
+                if not len(open_):
+                    continue
+                at = open_[select(row[open_], ids[open_], k, 1e-9 * (1 + np.abs(row[open_]).max()))]
                 # one order of addition for every row, so that equal vectors tie exactly
                 exact = np.add.accumulate(x[at] * v, axis=1)[:, -1]
                 best = np.lexsort((ids[at], -exact))[:k]

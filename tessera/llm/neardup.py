@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut, drop, ship
+from .common import claim, cut, drop, ship, trimmed
 from .components import connected_components
 from .steps import steps
 
@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in steps(batch, 1, _STEP):
                 yield signed(some)
 

@@ -10,7 +10,8 @@ fills one kind of sequence and takes as many copies of it as availability allows
 4. what is left, in decreasing length, into the tightest gap that holds it (best fit).
 
 Pieces then get their place by rank among the pieces of their length.  Ranks come from counts for
-each (length, salt) and a row number within it, so that no length, however frequent, meets in a task.
+each (length, salt) and a row number within it, so that no length, however frequent, meets in a task.  Ids and
+other columns take no part in that: they move once, to their place.
 
 Defined results: null or empty texts are one piece holding the end id; null ids are kept; repeated
 rows are packed as often as they occur, ties by (doc_id, piece) are interchangeable pieces of equal
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import claim, cut, ship
+from .common import claim, cut, ship, trimmed
 from .encoding import encoder
 from .steps import STEP_BYTES, steps
 
@@ -150,7 +151,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # with ids the pieces themselves fill a worker: fewer words at hand, shorter steps
         encode = encoder(vocabulary, 120_000).encode if with_ids else encoder(vocabulary).encode
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in steps(batch, 1, STEP_BYTES // 4 if with_ids else STEP_BYTES):
                 rows = []
                 ids = some.column(0).to_pylist()
@@ -166,20 +167,21 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int = END_ID,
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Rows with a length from 1 to capacity get sequence_id (long) and offset (long)."""
-    spark = parts.sparkSession
-    ship(spark)
-    parts = cut(parts)
+    """Rows with a length from 1 to capacity get sequence_id (long) and offset (long).
+
+    Places are found for (row number, length) alone; then the rows, with whatever they carry, move once.
+    """
+    ship(parts.sparkSession)
+    names = parts.columns
+    parts = cut(parts.withColumn("__row", F.monotonically_increasing_id()))
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     places = _places(plan_sequences(counts, capacity), capacity)
     salts = F.element_at(F.array(*[F.lit(-(-counts.get(x, 1) // RANK_ROWS)) for x in range(1, capacity + 1)]), F.col("length").cast("int"))
-    order = [c for c in ("doc_id", "piece") if c in parts.columns]
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64(*order), salts.cast("long")).cast("int"))
+    salted = parts.select("__row", "length", F.pmod(F.xxhash64("__row"), salts.cast("long")).cast("int").alias("__salt"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("n")).select(F.col("length").alias("__length"), F.col("__salt").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
-    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*order)) - 1)
-    ranked = ranked.join(offsets, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__s"))).withColumn("__rank", F.col("__rank") + F.col("__before"))
-    ranked = ranked.select(*parts.columns, "__rank")
+    ranked = salted.withColumn("__rank", F.row_number().over(Window.partitionBy("length", "__salt").orderBy("__row")) - 1)
+    ranked = ranked.join(offsets, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__s"))).select("__row", "length", (F.col("__rank") + F.col("__before")).alias("__rank"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -193,5 +195,6 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence[own], offset[own] = base[k] + rank[own] - first[k], at[k]
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
-    # only lengths and ranks go to Python; ids stay where they are
-    return ranked.withColumn("__place", place("length", "__rank")).select(*parts.columns, "__place.sequence_id", "__place.offset")
+    placed = ranked.withColumn("__place", place("length", "__rank")).select(F.col("__row").alias("__r"), "__place.sequence_id", "__place.offset")
+    # the small side is hashed, so that rows with ids are not sorted
+    return parts.join(placed.hint("shuffle_hash"), F.col("__row") == F.col("__r")).select(*names, "sequence_id", "offset")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, parallelism, ship
+from .common import fresh_path, parallelism, ship, trimmed
 from .encoding import encoder
 from .steps import steps
 
@@ -136,7 +136,7 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
         encode, keys, ids, size, out = encoder(vocabulary).encode, [], [], 0, None
         there, base = _open(path)
         mine = f"{base}/part-{part:06d}.{context.taskAttemptId()}.tmp"
-        for batch in batches:
+        for batch in trimmed(batches):
             for some in steps(batch):
                 if out is None:
                     out = there.open_output_stream(mine)

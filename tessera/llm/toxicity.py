@@ -25,15 +25,17 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, cut, remainder, ship
+from .common import claim, cut, drop, remainder, sampled, ship, trimmed
 from .langid import keep_rows
 from .neardup import shingles
+from .steps import steps
 
 FIT_TOXIC, FIT_HARMLESS = 6000, 12000
 #: Toxic terms all stay, whatever their number; harmless ones take a quarter of this at most.
@@ -43,6 +45,7 @@ VOCABULARY = 4000
 LEAN, SUPPORT = 15, 5
 WORD_VOTERS, HARMLESS_VOTERS = 8, 3
 _BEGINNINGS = (4, 5, 6)
+_STEP = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}!")
 
@@ -142,15 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_ro
     share = there.get(1, 0) / max(1, sum(there.values()))
     if len(there) < 2:
         return ToxicityModel({}, float(np.log((share + 1e-9) / (1 - share + 1e-9))), [], np.zeros(0), np.eye(0))
-    part = F.when(F.col("y") == 1, int(min(1, most[1] / there[1]) * 1_000_000)).otherwise(int(min(1, most[0] / there[0]) * 1_000_000))
-    chosen = marked.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < part).dropDuplicates(["id"])
+    part = F.when(F.col("y") == 1, sampled(F.xxhash64("id"), most[1] / there[1])).otherwise(sampled(F.xxhash64("id"), most[0] / there[0]))
+    chosen = marked.where(part).dropDuplicates(["id"])
     # about toxic_rows + harmless_rows ids of 12 bytes: a size fixed by the parameters
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id").select("id", "y", "text")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least = [int(x[0] >> np.uint64(1)) if len(x) else -1 for x in (shingles(t, 5) for t in batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["id", "y", "text", "least"])
+            for some in steps(batch, 2, _STEP):
+                least = [int(x[0] >> np.uint64(1)) if len(x) else -1 for x in (shingles(t, 5) for t in some.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(least, pa.int64())], names=["id", "y", "text", "least"])
 
     # most copies of a text share its least shingle hash: they are one example, not many
     sample = cut(sample.mapInArrow(key, "id long, y int, text string, least long").groupBy("least", "y").agg(F.min_by(F.struct("id", "text"), F.struct("id", "text")).alias("d")).select("d.id", "y", "d.text"))
@@ -158,10 +162,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_ro
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
         for batch in batches:
-            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                seen[y].update(terms(text))
-                if len(seen[0]) + len(seen[1]) > 400_000:
-                    yield from flush(seen)
+            for some in steps(batch, 2, _STEP):
+                for y, text in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
+                    seen[y].update(terms(text))
+                    if len(seen[0]) + len(seen[1]) > 400_000:
+                        yield from flush(seen)
         yield from flush(seen)
 
     def flush(seen: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_ro
 
     counted = sample.mapInArrow(count, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        raise ValueError(f"no labelled row has a text or was sampled of {sum(there.values())}: raise toxic_rows ({toxic_rows}) and harmless_rows ({harmless_rows})")
     n1, n0 = sizes.get(1, 1), sizes.get(0, 1)
     # terms of the sample that are not rare and lean to a side: bounded as the sample is
     lean = (F.col("a") + 0.1) / n1 / ((F.col("b") + 0.1) / n0)
@@ -181,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_ro
     names, group = _voters(toxic, harmless)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in chain.from_iterable(steps(batch, 2, _STEP) for batch in batches):
             found, votes = [], []
-            for y, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for y, text in zip(some.column(1).to_pylist(), some.column(2).to_pylist()):
                 hit = sorted(number[t] for t in terms(text) if t in number)
                 found.append(hit)
                 votes.append(_vote(hit, text or "", y, group, len(toxic), len(names)))
@@ -220,9 +227,10 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = model.score(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
+        for batch in trimmed(batches):
+            for some in steps(batch, 1, _STEP):
+                s = model.score(some.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
