@@ -9,6 +9,8 @@
 3. The label model gives each voter a distribution of votes for each class and is fitted by expectation
    maximisation.  Voters that agree beyond what their class explains are correlated: each one's
    evidence is divided by its summed correlation with the others, so that copies of a voter count once.
+   The label is not read from the text, so it keeps its whole weight; its accuracy is estimated with a prior of
+   LABEL_ACCURACY, which also settles which class is which if all other voters are copies of one.
 4. A logistic classifier on the vocabulary is trained on the posterior labels and scores every text.
 
 Fitting reads at most about FIT_TOXIC toxic and FIT_HARMLESS other rows, chosen by a hash of their id;
@@ -43,7 +45,7 @@ VOCABULARY = 4000
 #: A toxic term is this many times as frequent in toxic texts, and occurs in at least SUPPORT of them.  The
 #: count is the same at every size: a share would shut out a language that has few of the toxic texts.
 LEAN, SUPPORT = 15, 5
-WORD_VOTERS, HARMLESS_VOTERS = 8, 3
+WORD_VOTERS, HARMLESS_VOTERS, LABEL_ACCURACY = 8, 3, 0.9
 _BEGINNINGS = (4, 5, 6)
 _STEP = 1 << 20
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,15 +81,23 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.array(out), -30, 30)))
 
 
-def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: rows x voters in {-1, 0, 1}.  Returns posterior of label 1, accuracy by voter, correlations."""
+def label_model(votes: np.ndarray, share: float, rounds: int = 30, anchor: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """votes: rows x voters in {-1, 0, 1}.  Returns posterior of label 1, accuracy by voter, correlations.
+
+    anchor: a voter that is independent of the others and right with about LABEL_ACCURACY.
+    """
     one_hot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
     with np.errstate(all="ignore"):
         raw = np.nan_to_num(np.corrcoef(votes.T.astype(float)).reshape(votes.shape[1], -1))
+    if anchor is not None:
+        raw[anchor], raw[:, anchor] = 0, 0
     discount, corr = 1 / np.clip((np.clip(raw, 0, 1) ** 4).sum(0), 1, None), np.eye(votes.shape[1])  # copies start as one voter
     q = 1 / (1 + np.exp(-(2 * votes @ discount + np.log(share / (1 - share)) / 2)))
     for k in range(rounds):
         on = np.stack([np.einsum("r,rvk->vk", 1 - q, one_hot) + 0.5, np.einsum("r,rvk->vk", q, one_hot) + 0.5])
+        if anchor is not None:  # the prior counts as much as the votes
+            wrong = (1 - LABEL_ACCURACY) / 2
+            on[:, anchor] += on[:, anchor].sum(1, keepdims=True) * np.array([[LABEL_ACCURACY, wrong, wrong], [wrong, wrong, LABEL_ACCURACY]])
         on /= on.sum(2, keepdims=True)
         evidence = np.einsum("rvk,vk->rv", one_hot, np.log(on[1]) - np.log(on[0]))
         if k in (5, 15):  # votes without what the class explains, then how far they still go together
@@ -95,6 +105,8 @@ def label_model(votes: np.ndarray, share: float, rounds: int = 30) -> tuple[np.n
             left = votes - expected
             sd = np.sqrt((left**2).mean(0)) + 1e-9
             corr = (left.T @ left) / len(left) / np.outer(sd, sd)
+            if anchor is not None:
+                corr[anchor], corr[:, anchor] = 0, 0
             discount = np.minimum(1 / np.clip(np.where(corr > 0.2, corr, 0).sum(0), 1, None), 1 / np.clip((np.clip(raw, 0, 1) ** 4).sum(0), 1, None))
         z = evidence @ discount + np.log(share / (1 - share))
         q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -200,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column | None = None, toxic_ro
     found = [np.asarray(x, np.int64) for x in seen["found"]]
     votes = np.array([list(v) for v in seen["votes"]], np.int8).reshape(len(found), len(names))
     own = float((votes[:, -1] == 1).mean())
-    posterior, accuracy, corr = label_model(votes, min(0.99, max(0.01, own)))
+    posterior, accuracy, corr = label_model(votes, min(0.99, max(0.01, own)), anchor=votes.shape[1] - 1)
     w, b = _logistic(found, len(number), posterior)
     return ToxicityModel({t: float(w[k]) for t, k in number.items() if abs(w[k]) > 1e-3}, b, names, accuracy, corr)
 

