@@ -68,6 +68,11 @@ _ANY = r"(?<![\p{L}\p{N}_])(?:" + "|".join(PATTERNS.values()) + ")"
 _SECRET_HEAD = r"^(?i:[a-z_-]+)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with the value written and computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _kind(m: Column) -> Column:
     """The kind of a match; what only looks like a card (its check digit is wrong) or a secret (all symbols) is no entity."""
     out = F.lit("person")
@@ -81,34 +86,41 @@ def _kind(m: Column) -> Column:
     return out
 
 
+def _matches(text: Column) -> Column:
+    """The matches of a text as (m, kind)."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_ANY), 0), lambda m: F.struct(m.alias("m"), _kind(m).alias("kind")))
+
+
 def _gender(title: Column) -> Column:
     bare = F.regexp_replace(title, r"\.$", "")
     return F.when(bare.isin(MALE_TITLES), "male").when(bare.isin(FEMALE_TITLES), "female").otherwise("other")
 
 
-def _units(m: Column) -> Column:
+def _units(m: Column, kind: Column) -> Column:
     """The entities of a match: kind, normal form, and how it was written."""
-    kind = _kind(m)
     unit = lambda k, norm, surface: F.struct(k.alias("kind"), norm.alias("norm"), surface.alias("surface"))
     value = F.when(kind == "secret", F.regexp_replace(m, _SECRET_HEAD, "")).otherwise(m)
     digits = F.regexp_replace(m, r"[^0-9]", "")
     called = F.when(m.startswith("00"), F.substring(digits, F.lit(3), F.length(digits))).when(m.startswith("+"), digits).otherwise(F.concat(F.lit("1"), digits))
     norm = F.when(kind == "email", F.lower(m)).when(kind == "phone", called).when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.regexp_replace(m, " ", "")).otherwise(value)
-    words = F.split(m, " ")
-    names = F.slice(words, 2, 3)
-    last = F.size(names) - 1
-    parts = F.transform(names, lambda w, i: unit(F.when(i == last, "family").otherwise(_gender(words[0])), F.lower(w), w))
-    return F.when(kind == "person", parts).otherwise(F.array(unit(kind, norm, value)))
+    names = lambda words: F.transform(F.slice(words, 2, 3), lambda w, i: unit(F.when(i == F.size(words) - 2, "family").otherwise(_gender(words[0])), F.lower(w), w))
+    return F.when(kind == "person", _let(F.split(m, " "), names)).otherwise(F.array(unit(kind, norm, value)))
 
 
 def _pick(d: Column, i: Column | int, n: Column | int) -> Column:
     return F.pmod(F.xxhash64(d, F.lit(i) if isinstance(i, int) else i), (F.lit(n) if isinstance(n, int) else n).cast("long")).cast("int")
 
 
-def _one_of(values: str | list[str], d: Column, i: Column | int) -> Column:
+def _one_of(values: str | Column, d: Column, i: Column | int) -> Column:
+    """A character of a string, or an element of an array column."""
     if isinstance(values, str):
         return F.substring(F.lit(values), _pick(d, i, len(values)) + 1, F.lit(1))
-    return F.element_at(F.array(*[F.lit(v) for v in values]), _pick(d, i, len(values)) + 1)
+    return F.element_at(values, _pick(d, i, F.size(values)) + 1)
+
+
+def _table(rows: dict[str, list[str]]) -> Column:
+    """A map from names to lists, as one literal."""
+    return F.str_to_map(F.lit(";".join(f"{k}={'|'.join(v)}" for k, v in rows.items())), F.lit(";"), F.lit("="))
 
 
 _CHARS = r"(?s)(.)"
@@ -116,15 +128,14 @@ _LOW, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 _CYRILLIC_LOW, _GREEK_LOW = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
 
-def _shape(s: Column, d: Column, keep: Column | int = 0, letters: str = _LOW) -> Column:
+def _shape(s: Column, d: Column, keep: Column, hexed: Column) -> Column:
     """Letters for letters of a script and case, digits for digits, the rest and the first `keep` characters as they are."""
-    chars = F.regexp_extract_all(s, F.lit(_CHARS), 1)
 
     def to(c: Column, i: Column) -> Column:
-        letter = F.when(c.rlike(r"\p{IsCyrillic}"), _one_of(_CYRILLIC_LOW, d, i)).when(c.rlike(r"\p{IsGreek}"), _one_of(_GREEK_LOW, d, i)).otherwise(_one_of(letters, d, i))
-        return F.when(i < keep, c).when(c.rlike(r"\d"), _one_of(_DIGITS, d, i)).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
+        letter = F.when(c.rlike(r"\p{IsCyrillic}"), _one_of(_CYRILLIC_LOW, d, i)).when(c.rlike(r"\p{IsGreek}"), _one_of(_GREEK_LOW, d, i)).when(hexed, _one_of("abcdef", d, i)).otherwise(_one_of(_LOW, d, i))
+        return F.when(i < keep, c).when(c.rlike(r"\d"), _one_of(_DIGITS, d, i)).when(c.rlike(r"\p{L}"), _let(letter, lambda x: F.when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x))).otherwise(c)
 
-    return F.array_join(F.transform(chars, to), "")
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit(_CHARS), 1), to), "")
 
 
 def _more(attempt: Column, d: Column) -> Column:
@@ -145,69 +156,65 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, x: a + x)
 
 
+def _name(kind: Column, norm: Column, attempt: Column, d: Column) -> Column:
+    """Syllables, one more with each attempt, and an ending of the gender; in other scripts letters of the name's own."""
+    script = F.when(norm.rlike(r"\p{IsGreek}"), "greek").when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsLatin}"), "latin").otherwise("")
+    syllables = _table({"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK})
+    endings = _table({f"{gender} {k}": v for gender, scripts in ENDINGS.items() for k, v in scripts.items()})
+    listed = lambda table, entry: F.split(F.element_at(table, entry), r"\|")
+    known = lambda k: F.concat(F.array_join(F.transform(F.sequence(F.lit(0), attempt + 1), lambda i: _one_of(listed(syllables, k), d, i)), ""), _one_of(listed(endings, F.concat_ws(" ", kind, k)), d, 99))
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm) + attempt), lambda i: _one_of(F.regexp_extract_all(norm, F.lit(_CHARS), 1), d, i)), "")
+    return _let(script, lambda k: F.when(k == "", own).otherwise(known(k)))
+
+
 def _fake(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form, in normal form."""
-    d = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string")), 256)
-    body = F.concat(_shape(F.expr("''"), d), F.lit(""))  # an empty start, so that the type is a string
-    card = F.concat(body, _shape(F.substring(norm, F.lit(1), F.length(norm) - 1), d, 1))
-    check = F.when(_luhn_sum(norm) % 10 == 0, ((10 - _luhn_sum(F.concat(card, F.lit("0"))) % 10) % 10).cast("string")).otherwise(_one_of(_DIGITS, d, 99))
-    ip = F.concat_ws(".", *[(_pick(d, i, n) + a).cast("string") for i, (a, n) in enumerate(((11, 200), (0, 256), (0, 256), (1, 254)))])
-    tail = F.regexp_extract(norm, r"(\.\p{L}{2,})$", 1)
-    more = _more(attempt, d)
-    email = F.concat(more, _shape(F.substring(norm, F.lit(1), F.length(norm) - F.length(tail)), d), tail)
-    hexed = norm.rlike("^[0-9a-f]+$")
-    country, account = F.substring(norm, 1, 2), _shape(F.substring(norm, F.lit(5), F.length(norm)), d)
-    iban = F.concat(country, F.lpad((98 - _mod_97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
-    names = F.lit("")
-    syllables_of = {"latin": LATIN, "cyrillic": CYRILLIC, "greek": GREEK}
-    for script, syllables in syllables_of.items():
-        stem = F.array_join(F.transform(F.sequence(F.lit(0), attempt + 1), lambda i: _one_of(syllables, d, i)), "")
-        end = F.lit("")
-        for gender, endings in ENDINGS.items():
-            end = F.when(kind == gender, _one_of(endings[script], d, 99)).otherwise(end)
-        names = F.when(norm.rlike(rf"\p{{Is{script.capitalize()}}}"), F.concat(stem, end)).otherwise(names)
-    # a name in another script: letters of its own, longer with each attempt
-    own = F.regexp_extract_all(norm, F.lit(_CHARS), 1)
-    other = F.array_join(F.transform(F.sequence(F.lit(1), F.length(norm) + attempt), lambda i: F.element_at(own, _pick(d, i, F.length(norm)) + 1)), "")
-    known = F.lit(False)
-    for script in syllables_of:
-        known = known | norm.rlike(rf"\p{{Is{script.capitalize()}}}")
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "card", F.concat(card, check))
-        .when(kind == "ip", ip)
-        .when(kind == "phone", _shape(norm, d, F.length(F.regexp_extract(norm, CALLING_CODE, 0))))
-        .when(kind == "ssn", _shape(norm, d))
-        .when(kind == "iban", iban)
-        .when(kind == "key", F.upper(_shape(norm, d, 4)))
-        .when(kind == "secret", F.concat(F.when(hexed, _shape(norm, d, 0, "abcdef")).otherwise(_shape(norm, d)), more))
-        .when(known, names)
-        .otherwise(other)
-    )
+
+    def drawn(d: Column) -> Column:
+        tail = F.regexp_extract(norm, r"(\.\p{L}{2,})$", 1)
+        ip = F.concat_ws(".", *[(_pick(d, i, n) + a).cast("string") for i, (a, n) in enumerate(((11, 200), (0, 256), (0, 256), (1, 254)))])
+        changed = F.when(kind == "email", F.substring(norm, F.lit(1), F.length(norm) - F.length(tail))).when(kind == "card", F.substring(norm, F.lit(1), F.length(norm) - 1)).when(kind == "iban", F.substring(norm, F.lit(5), F.length(norm))).otherwise(norm)
+        keep = F.when(kind == "phone", F.length(F.regexp_extract(norm, CALLING_CODE, 0))).when(kind == "card", 1).when(kind == "key", 4).otherwise(0)
+        shaped = _shape(changed, d, keep, (kind == "secret") & norm.rlike("^[0-9a-f]+$"))
+        country = F.substring(norm, 1, 2)
+
+        def closed(x: Column) -> Column:
+            return (
+                F.when(kind == "email", F.concat(_more(attempt, d), x, tail))
+                .when(kind == "card", F.concat(x, ((10 - _luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
+                .when(kind == "iban", F.concat(country, F.lpad((98 - _mod_97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
+                .when(kind == "key", F.upper(x))
+                .when(kind == "secret", F.concat(x, _more(attempt, d)))
+                .otherwise(x)
+            )
+
+        return F.when(kind.isin(*ENDINGS), _name(kind, norm, attempt, d)).when(kind == "ip", ip).otherwise(_let(shaped, closed))
+
+    return _let(F.sha2(F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string")), 256), drawn)
 
 
 def _dress(kind: Column, fake: Column, surface: Column) -> Column:
     """A surrogate written as the entity was."""
     chars = F.regexp_extract_all(surface, F.lit(_CHARS), 1)
-    before = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), "[^0-9]", ""))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(fake, before(i), F.lit(1))).otherwise(c)), "")
+    woven = lambda to: F.array_join(F.transform(chars, to), "")
+    at = lambda i: F.substring(fake, i, F.lit(1))
+    seen = lambda i, out: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), out, ""))
     # a telephone number without its country code takes the last digits; the zeros before a country code stay
-    zeros = F.when(surface.startswith("00"), 2).otherwise(0)
-    skip = F.when(surface.startswith("+") | surface.startswith("00"), -zeros).otherwise(F.length(fake) - F.length(F.regexp_replace(surface, "[^0-9]", "")))
-    phone = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]") & (before(i) > zeros), F.substring(fake, before(i) + skip, F.lit(1))).otherwise(c)), "")
+    zeros = F.when((kind == "phone") & surface.startswith("00"), 2).otherwise(0)
+    skip = F.when((kind != "phone") | surface.startswith("+") | surface.startswith("00"), -zeros).otherwise(F.length(fake) - F.length(F.regexp_replace(surface, "[^0-9]", "")))
+    digits = woven(lambda c, i: _let(seen(i, "[^0-9]"), lambda n: F.when(c.rlike("[0-9]") & (n > zeros), at(n + skip)).otherwise(c)))
     longer = F.length(fake) - F.length(surface)
-    cased = F.concat(F.substring(fake, F.lit(1), longer), F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substring(fake, i + 1 + longer, F.lit(1)))).otherwise(F.substring(fake, i + 1 + longer, F.lit(1)))), ""))
-    solid = lambda i: F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), " ", ""))
-    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(fake, solid(i), F.lit(1)))), "")
-    name = F.when(surface.rlike(r"^\p{Lu}{2,}$"), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.expr("''"), F.substring(fake, F.lit(2), F.length(fake))))
-    return F.when(kind == "number", surface).when(kind == "phone", phone).when(kind.isin("card", "ssn"), digits).when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "key", "secret"), fake).otherwise(name)
+    cased = F.concat(F.substring(fake, F.lit(1), longer), woven(lambda c, i: _let(at(i + 1 + longer), lambda x: F.when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x))))
+    spaced = woven(lambda c, i: F.when(c == " ", c).otherwise(at(seen(i, " "))))
+    name = F.when(surface.rlike(r"^\p{Lu}{2,}$"), F.upper(fake)).otherwise(F.concat(F.upper(F.substring(fake, 1, 1)), F.substring(fake, F.lit(2), F.length(fake))))
+    return F.when(kind == "number", surface).when(kind.isin("card", "ssn", "phone"), digits).when(kind == "email", cased).when(kind == "iban", spaced).when(kind.isin("ip", "key", "secret"), fake).otherwise(name)
 
 
 def entities(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, kind, norm of the entities of each document, once each."""
-    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.array_distinct(F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(_ANY), 0)).alias("m")).where(F.size("m") > 0)
-    units = found.select("doc_id", F.explode("m").alias("m")).select("doc_id", F.explode(_units(F.col("m"))).alias("u"))
-    return units.select("doc_id", "u.kind", "u.norm").where("kind != 'number'")
+    found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(F.array_distinct(_matches(F.col(f"`{text_col}`")))).alias("x")).where("x.kind != 'number'")
+    units = found.select("doc_id", F.explode(_units(F.col("x.m"), F.col("x.kind"))).alias("u"))
+    return units.select("doc_id", "u.kind", "u.norm")
 
 
 def raised(found: DataFrame, key: str) -> DataFrame:
@@ -246,19 +253,18 @@ def replace(docs: DataFrame, key: str = "tessera", text_col: str = "text", id_co
 
     def surrogate(u: Column) -> Column:
         tried = F.coalesce(F.element_at(attempts, F.concat_ws("\u0001", u["kind"], u["norm"])), F.lit(0))
-        return _dress(u["kind"], _fake(u["kind"], u["norm"], tried, key), u["surface"])
-
-    def written(m: Column) -> Column:
-        """A match with its entities replaced: what stands before the first one stays."""
-        kind, units = _kind(m), _units(m)
-        head = F.when(kind == "secret", F.regexp_extract(m, _SECRET_HEAD, 0)).when(kind == "person", F.concat(F.element_at(F.split(m, " "), 1), F.lit(" "))).otherwise(F.lit(""))
-        return F.concat(head, F.array_join(F.transform(units, surrogate), " "))
-
-    matches, pieces = F.regexp_extract_all(text, F.lit(_ANY), 0), F.split(text, _ANY, -1)
-    woven = F.array_join(F.zip_with(pieces, F.transform(F.col("__m"), written), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    family = F.array_distinct(F.flatten(F.transform(F.filter("__m", lambda m: _kind(m) == "person"), lambda m: F.filter(_units(m), lambda u: u["kind"] == "family"))))
-    bare = F.aggregate(family, F.col("__woven"), lambda acc, u: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), u["surface"], F.lit(r"(?![\p{L}\p{N}])")), surrogate(u)))
-    own = {text_col: F.when(F.size("__m") > 0, bare).otherwise(text), "n_entities": F.coalesce(F.size(F.filter("__m", lambda m: _kind(m) != "number")), F.lit(0))}
-    rows = rows.withColumn("__m", matches).withColumn("__woven", F.when(F.size("__m") > 0, woven))
+        return _let(_fake(u["kind"], u["norm"], tried, key), lambda fake: _dress(u["kind"], fake, u["surface"]))
+
+    def written(x: Column) -> Column:
+        """A match with its entities replaced (what stands before the first one stays), and its family names."""
+        head = F.when(x["kind"] == "secret", F.regexp_extract(x["m"], _SECRET_HEAD, 0)).when(x["kind"] == "person", F.concat(F.element_at(F.split(x["m"], " "), 1), F.lit(" "))).otherwise(F.lit(""))
+        made = F.transform(_units(x["m"], x["kind"]), lambda u: F.struct(u["kind"].alias("kind"), u["surface"].alias("surface"), surrogate(u).alias("now")))
+        return _let(made, lambda us: F.struct(F.concat(head, F.array_join(F.transform(us, lambda u: u["now"]), " ")).alias("now"), F.filter(us, lambda u: u["kind"] == "family").alias("family")))
+
+    rows = rows.withColumn("__m", _matches(text)).withColumn("__new", F.transform("__m", written))
+    woven = F.array_join(F.zip_with(F.split(text, _ANY, -1), F.col("__new"), lambda a, b: F.concat(a, F.coalesce(b["now"], F.lit("")))), "")
+    family = F.array_distinct(F.flatten(F.transform("__new", lambda x: x["family"])))
+    bare = F.aggregate(family, woven, lambda acc, u: F.regexp_replace(acc, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), u["surface"], F.lit(r"(?![\p{L}\p{N}])")), u["now"]))
+    own = {text_col: F.when(F.size("__m") > 0, bare).otherwise(text), "n_entities": F.coalesce(F.size(F.filter("__m", lambda x: x["kind"] != "number")), F.lit(0))}
     columns = [own.get(c, F.col(place[c])).alias(c) for c in names]
     return rows.select(*columns, *([own["n_entities"].alias("n_entities")] if "n_entities" not in names else []))
