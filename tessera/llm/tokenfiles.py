@@ -70,6 +70,29 @@ class EliasFano:
         raw = np.unpackbits(self.low[first // 8 : (first + self.width + 7) // 8], bitorder="little")[first % 8 :][: self.width]
         return ((at - i) << self.width) | sum(int(b) << k for k, b in enumerate(raw))
 
+    def selected(self, i: np.ndarray) -> np.ndarray:
+        """The values of these places, in any order: select for many at once."""
+        i = np.asarray(i, np.int64)
+        out = np.empty(len(i), np.int64)
+        rows = np.append(self.high, np.zeros(-len(self.high) % _STRIDE, np.uint8)).reshape(-1, _STRIDE)
+        low = np.append(self.low, np.zeros(8, np.uint8))
+        for a in range(0, len(i), 1 << 14):
+            some = i[a : a + (1 << 14)]
+            block = np.searchsorted(self.ranks, some, "right") - 1
+            ones = np.cumsum(np.bitwise_count(rows[block]), 1, dtype=np.int64)  # up to each byte of the block
+            rest = some - self.ranks[block]
+            byte = (ones <= rest[:, None]).sum(1)
+            rest -= np.where(byte > 0, np.take_along_axis(ones, np.maximum(byte - 1, 0)[:, None], 1)[:, 0], 0)
+            bits = np.unpackbits(rows[block, byte][:, None], axis=1, bitorder="little")
+            bit = (np.cumsum(bits, 1) <= rest[:, None]).sum(1)
+            at = (block * _STRIDE + byte) * 8 + bit
+            value = np.zeros(len(some), np.int64)
+            for k in range(self.width):
+                p = some * self.width + k
+                value |= (low[p >> 3].astype(np.int64) >> (p & 7) & 1) << k
+            out[a : a + (1 << 14)] = ((at - some) << self.width) | value
+        return out
+
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
         bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.int64)
@@ -119,6 +142,9 @@ def read_blocks(stream) -> Iterator[Block]:
 
 
 def _open(path: str):
+    """pyarrow's file system of a path; Spark's names of the same stores are known too."""
+    for theirs, ours in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        path = ours + path[len(theirs) :] if path.startswith(theirs) else path
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace("file:", "", 1))
 
 
@@ -183,7 +209,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 part, at = bases[k]
                 with there.open_input_stream(f"{top}/part-{part:06d}.tokens") as f:
                     for block in read_blocks(f):
-                        ends = block.ends.all()
+                        ends = block.ends.selected(np.arange(block.docs))
                         starts = np.append(0, ends[:-1])
                         wide = block.ids.astype("<u4").tobytes()
                         crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist())]

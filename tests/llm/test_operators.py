@@ -240,6 +240,10 @@ def test_elias_fano_selects_and_is_small():
     e = tokenfiles.EliasFano.encode(values)
     assert (e.all() == values).all() and [e.select(k) for k in range(0, 5000, 37)] == values[::37].tolist()
     assert e.nbytes < 5000 * 2
+    some = np.random.default_rng(5).integers(0, 5000, 900)
+    assert (e.selected(some) == values[some]).all() and (e.selected(np.arange(5000)) == values).all()
+    assert tokenfiles.EliasFano.encode(np.array([0, 0, 0])).selected(np.arange(3)).tolist() == [0, 0, 0]
+    assert tokenfiles.EliasFano.encode(np.array([], np.int64)).selected(np.arange(0)).tolist() == []
     assert tokenfiles.EliasFano.encode(np.array([], np.int64)).all().tolist() == []
     assert tokenfiles.EliasFano.encode(np.array([0, 0, 0])).all().tolist() == [0, 0, 0]
 
