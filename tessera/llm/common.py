@@ -31,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc not in _set_up:
         if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.conf.set("spark.checkpoint.dir", named)
         if sc._jsc.sc().getCheckpointDir().isEmpty():

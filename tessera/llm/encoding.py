@@ -59,6 +59,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.thresholds = gc.get_threshold()
         gc.set_threshold(1_000_000, 20, 100)  # the words of a batch are many and hold no cycles
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -187,9 +188,14 @@ class Encoder:
         return plain + ended
 
 
+def _forget(path: str) -> None:
+    if there := _encoders.pop(path, None):
+        gc.set_threshold(*there.thresholds)  # the worker goes on to other operators
+
+
 def encoder(path: str, words: int = _CACHE_WORDS) -> Encoder:
     """One encoder for each Python worker and vocabulary; it keeps so many words in a generation."""
-    claim(f"encoder {path}", lambda: _encoders.pop(path, None))
+    claim(f"encoder {path}", lambda: _forget(path))
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     _encoders[path].words = words
