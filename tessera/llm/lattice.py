@@ -24,36 +24,34 @@ row keys with equal texts sample alike; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import accumulate, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import claim, ship
 from .encoding import token_path
-from .neardup import mix
+from .neardup import _M1, _M2, mix
 from .steps import steps
 
 MODEL, SHIFT, ALPHA, SAMPLES, SEED = "piece_bpe_32k.model", 2.7, 1.0, 2, 11
 _STEP = 3 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 _WORDS = re.compile("▁+[^▁]*|[^▁]+")
 #: Words whose lattices a worker keeps.
 _KEEP_WORDS = 60_000
 _vocabularies: dict[tuple[str, float], "Vocabulary"] = {}
 
 
-def _unit(keys: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from hashes."""
-    return ((mix(keys) >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0**-52
-
-
 class Vocabulary:
     """Pieces by length with their log-probabilities, found by hash."""
 
@@ -77,7 +75,7 @@ class Vocabulary:
         total = np.log(sum(np.exp(w) for w in weight.values()))
         self.byte_logp = alpha * (-np.log(n + SHIFT) - total)
         self.longest = max(len(self.pieces[i]) for i in normal)
-        self.number: dict[str, int] = {}  # words whose lattices are kept
+        self.words = pa.array([], pa.string())  # whose lattices are kept
         self.lattices: Lattices | None = None
         self.by_length, self.filter = {}, np.zeros(1 << 20, bool)
         for length in range(1, self.longest + 1):
@@ -105,7 +103,8 @@ class Lattices:
     """The lattices of words, their nodes numbered by distance from the word's end.
 
     start[w]: first node of a word.  Edges of a node are first[node]:first[node + 1]; an edge has its
-    piece (or minus the code of a character without a piece), its target and its chance.
+    piece (or minus the code of a character without a piece), its target, its chance and, on a grid,
+    the chance of the node's edges up to it.
     """
 
     def __init__(self, words: list[str], v: Vocabulary):
@@ -113,9 +112,10 @@ class Lattices:
         lengths = np.array([len(w) for w in words], np.int64)
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(len(code))  # characters to the end of the word, from 1
-        single, sources, targets, pieces, logps = np.zeros(len(code), bool), [], [], [], []
+        single = np.zeros(len(code), bool)
         h = mixed = mix(code)
         here = np.arange(len(code))  # places with enough characters to the end of their word
+        found = []  # for each length (places, pieces, log-probabilities)
         for length in range(1, min(v.longest, int(lengths.max(initial=0))) + 1):
             if length > 1:
                 go = left[here] >= length
@@ -123,7 +123,7 @@ class Lattices:
                 h = h[go] * _BASE + mixed[here + length - 1]
             if length not in v.by_length:
                 continue
-            maybe = v.filter[(h >> np.uint64(44)).astype(np.int64)]
+            maybe = np.flatnonzero(v.filter[(h >> np.uint64(44)).astype(np.int64)])
             at, mine = here[maybe], h[maybe]
             known, ids, logp = v.by_length[length]
             k = np.minimum(np.searchsorted(known, mine), len(known) - 1)
@@ -131,37 +131,37 @@ class Lattices:
             at, k = at[hit], k[hit]
             if length == 1:
                 single[at] = True
-            sources.append(at)
-            targets.append(left[at] - length)
-            pieces.append(ids[k])
-            logps.append(logp[k])
+            found.append((length, at, ids[k], logp[k]))
         odd = np.flatnonzero(~single)
         if len(odd):
             c = code[odd].astype(np.int64)
-            sources.append(odd)
-            targets.append(left[odd] - 1)
-            pieces.append(-c)
-            logps.append(v.byte_logp * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
-        source, piece, logp = np.concatenate(sources), np.concatenate(pieces), np.concatenate(logps)
-        to_left = np.concatenate(targets)
+            found.insert(0, (1, odd, -c, v.byte_logp * (1.0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))))
         # nodes by distance from the end, ends (distance 0) first; node_of[i] is the node of character i
-        by_left = np.argsort(left, kind="stable")
+        by_left = np.argsort(left.astype(np.uint16) if lengths.max(initial=0) < 1 << 16 else left, kind="stable")
         node_of = np.empty(len(code), np.int64)
         node_of[by_left] = np.arange(len(code)) + 1
-        target = np.where(to_left == 0, 0, node_of[np.minimum(source + left[source] - to_left, len(code) - 1)])
-        node = node_of[source]
-        order = np.argsort(node, kind="stable")
-        node, logp, target = node[order], logp[order], target[order]
-        self.node, self.target, self.piece = node.astype(np.int32), target.astype(np.int32), piece[order].astype(np.int32)
-        self.first = np.append(0, np.cumsum(np.bincount(node, minlength=len(code) + 1)))
+        sizes = np.zeros(len(code), np.int64)
+        for _, at, _, _ in found:
+            sizes[at] += 1
+        self.first = np.zeros(len(code) + 2, np.int64)
+        np.cumsum(sizes[by_left], out=self.first[2:])
+        # a node's edges lie from the longest piece, most often the likeliest, to the shortest
+        n = int(self.first[-1])
+        self.target, self.piece, logp = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n)
+        free = self.first[node_of]
+        for length, at, ids, p in reversed(found):
+            to = free[at]
+            free[at] += 1
+            self.piece[to], logp[to] = ids, p
+            self.target[to] = np.where(left[at] == length, 0, node_of[np.minimum(at + length, len(code) - 1)])
         beta = np.zeros(len(code) + 1)
-        self.chance = np.ones(len(node))
-        levels = np.append(0, np.cumsum(np.bincount(left[by_left], minlength=1)[1:])) + 1
+        self.chance = np.ones(n)
+        levels = np.append(0, np.cumsum(np.bincount(left, minlength=1)[1:])) + 1
         for a, b in zip(levels[:-1].tolist(), levels[1:].tolist()):
             if a == b:
                 continue
             lo, hi = int(self.first[a]), int(self.first[b])
-            w, starts = logp[lo:hi] + beta[target[lo:hi]], self.first[a:b] - lo
+            w, starts = logp[lo:hi] + beta[self.target[lo:hi]], self.first[a:b] - lo
             top = np.maximum.reduceat(w, starts)
             counts = np.diff(np.append(starts, hi - lo))
             e = np.exp(w - np.repeat(top, counts))
@@ -169,45 +169,48 @@ class Lattices:
             beta[a:b] = top + np.log(total)
             self.chance[lo:hi] = e / np.repeat(total, counts)
         # chances add up within a node in its own order, then lie on a grid of 2^-32: choices don't depend on the batch
-        rank = np.arange(len(node)) - self.first[node]
-        run = self.chance.copy()
-        for r in range(1, int(rank.max(initial=0)) + 1):
-            at = np.flatnonzero(rank == r)
-            run[at] += run[at - 1]
-        grid = np.minimum(run * 2.0**32, 2.0**32 - 1).astype(np.uint64)
-        self.alone = (np.diff(self.first) < 2)[node]
-        grid[self.first[1:][self.first[1:] > self.first[:-1]] - 1] = np.uint64(1 << 32)
-        self.cumulative = (node.astype(np.uint64) << np.uint64(32)) + grid
+        run, begin, size = self.chance.copy(), self.first[1:-1], np.diff(self.first)[1:]
+        for r in range(1, int(size.max(initial=0))):
+            go = np.flatnonzero(size > r)
+            begin, size = begin[go], size[go]
+            run[begin + r] += run[begin + r - 1]
+        self.upto = np.clip(run * 2.0**32 - 1, 0, 2.0**32 - 1).astype(np.uint32)
+        self.upto[self.first[2:] - 1] = 0xFFFFFFFF
         self.start = node_of[ends - lengths] if len(words) else np.empty(0, np.int64)
 
     def joined(self, other: "Lattices") -> "Lattices":
         """These lattices and others as one; the others' nodes and edges come after."""
-        out, n, m = Lattices.__new__(Lattices), len(self.first) - 2, len(self.node)
-        out.node = np.append(self.node, other.node + np.int32(n))
+        out, n, m = Lattices.__new__(Lattices), len(self.first) - 2, len(self.target)
         out.target = np.append(self.target, np.where(other.target > 0, other.target + np.int32(n), np.int32(0)))
-        for name in ("piece", "chance", "alone"):
+        for name in ("piece", "chance", "upto"):
             setattr(out, name, np.append(getattr(self, name), getattr(other, name)))
-        out.cumulative = np.append(self.cumulative, other.cumulative + np.uint64(n << 32))
         out.first = np.append(self.first[:-1], other.first[1:] + m)
         out.start = np.append(self.start, other.start + n)
         return out
 
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each u (32 bits) chooses at its node."""
-        return np.searchsorted(self.cumulative, (node.astype(np.uint64) << np.uint64(32)) + u, "right")
+        edge = self.first[node]
+        at = np.flatnonzero(u > self.upto[edge])
+        while len(at):
+            edge[at] += 1
+            at = at[u[at] > self.upto[edge[at]]]
+        return edge
 
 
-def _draw(lattices: Lattices, start: np.ndarray, active: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A path through each word: (edges in order, offsets by word).  active: the words, neighbours in memory together."""
-    steps_, node, t = [], start[active], 0
+def _draw(lattices: Lattices, start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A path through each word: (edges in order, offsets by word)."""
+    steps_, active, node, t = [], np.arange(len(start)), start, 0
     counts = np.zeros(len(start), np.int64)
     while len(active):
-        edge = lattices.step(node, mix(keys[active] + np.uint64(t * int(_BASE) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32))
+        edge = lattices.step(node, (mix(keys + np.uint64(t * int(_BASE) & _ALL)) >> np.uint64(32)).astype(np.uint32))
         steps_.append((active, edge))
-        counts[active] += 1
         node = lattices.target[edge]
-        go = node > 0
-        active, node, t = active[go], node[go], t + 1
+        go = np.flatnonzero(node)
+        t += 1
+        if len(go) < len(active):
+            counts[active] = t
+        active, node, keys = active[go], node[go], keys[go]
     offsets = np.append(0, np.cumsum(counts))
     out = np.empty(offsets[-1], np.int64)
     for t, (active, edge) in enumerate(steps_):
@@ -218,17 +221,28 @@ def _draw(lattices: Lattices, start: np.ndarray, active: np.ndarray, keys: np.nd
 class _Set:
     """Paths that depart from a drawn path at or after a place, but not by its excluded edges."""
 
-    def __init__(self, path: np.ndarray, words: np.ndarray, before: float, fixed: int, lattices: Lattices):
-        self.path, self.words, self.out = path, words, {}
+    def __init__(self, path: np.ndarray, offsets: np.ndarray, before: float, fixed: int, lattices: Lattices):
+        self.path, self.offsets, self.out = path, offsets, {}
         c = lattices.chance[path[fixed:]]
-        self.log_before = before + np.append(0.0, np.cumsum(np.log(c)))
-        self.mass = np.exp(self.log_before[:-1]) * (1 - c)
-        self.mass[lattices.alone[path[fixed:]]] = 0.0
-        self.fixed, self.value = fixed, -np.inf
+        self.log_before = np.empty(len(c) + 1)
+        self.log_before[0] = 0.0
+        np.cumsum(np.log(c), out=self.log_before[1:])
+        self.log_before += before
+        self.mass = np.exp(self.log_before[:-1]) * (1 - c)  # nothing where a node has one edge
+        self.fixed, self.value = fixed, -math.inf
 
     def lower(self, below: float, u: float) -> None:
         total = float(self.mass.sum())
-        self.value = -np.inf if total <= 0 else np.log(total) - np.log(np.exp(np.log(total) - below) - np.log(u))
+        self.value = -math.inf if total <= 0 else math.log(total) - float(np.logaddexp(math.log(total) - below, math.log(-math.log(u))))
+
+
+def _units(key: int) -> Iterator[float]:
+    """Numbers in (0, 1) that follow from a key."""
+    for tick in count(1):
+        x = (key + 0x51ED2701 * tick) & _ALL
+        x = ((x ^ (x >> 30)) * int(_M1)) & _ALL
+        x = ((x ^ (x >> 27)) * int(_M2)) & _ALL
+        yield (((x ^ (x >> 31)) >> 12) + 0.5) * 2.0**-52
 
 
 def top_k(lattices: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
@@ -236,84 +250,91 @@ def top_k(lattices: Lattices, draws: list[tuple[np.ndarray, np.ndarray]], key: i
 
     draws: k independent draws of the text, each as (edges, offsets by word).
     """
-    tick = [0]
-
-    def u() -> float:
-        tick[0] += 1
-        return float(_unit(np.array([(key + 0x51ED2701 * tick[0]) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0])
-
+    units = _units(key)
     path, offsets = draws[0]
-    words = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    value = -np.log(-np.log(u()))
-    out = [(path, float(np.log(lattices.chance[path]).sum()), value)]
-    sets = [_Set(path, words, 0.0, 0, lattices)]
-    sets[0].lower(value, u())
+    value = -math.log(-math.log(next(units)))
+    sets = [_Set(path, offsets, 0.0, 0, lattices)]
+    out = [(path, float(sets[0].log_before[-1]), value)]
+    sets[0].lower(value, next(units))
     while True:
         best = max(sets, key=lambda s: s.value)
-        if best.value == -np.inf or len(out) == k:
+        if best.value == -math.inf or len(out) == k:
             return [*out, (None, 0.0, best.value)]
         value, run = best.value, np.cumsum(best.mass)
-        m = int(min(np.searchsorted(run, u() * run[-1], "right"), np.flatnonzero(best.mass)[-1]))
+        m = int(np.searchsorted(run, next(units) * run[-1], "right"))
+        if m == len(run) or not best.mass[m]:
+            m = int(np.flatnonzero(best.mass)[-1])
         at = best.fixed + m
-        node = int(lattices.node[best.path[at]])
-        others = [e for e in range(int(lattices.first[node]), int(lattices.first[node + 1])) if e != best.path[at] and e not in best.out.get(m, ())]
-        chances = np.cumsum(lattices.chance[others])
-        edge = others[min(int(np.searchsorted(chances, u() * chances[-1], "right")), len(others) - 1)]
+        taken = int(best.path[at])
+        node = int(np.searchsorted(lattices.first, taken, "right")) - 1
+        lo, hi = int(lattices.first[node]), int(lattices.first[node + 1])
+        others = [e for e in range(lo, hi) if e != taken and e not in best.out.get(m, ())]
+        chances = list(accumulate(lattices.chance[others].tolist()))
+        edge = others[min(bisect_right(chances, next(units) * chances[-1]), len(others) - 1)]
+        chance = float(lattices.chance[edge])
         best.out.setdefault(m, set()).add(edge)
-        best.mass[m] = max(0.0, best.mass[m] - np.exp(best.log_before[m]) * lattices.chance[edge]) if len(others) > 1 else 0.0
+        best.mass[m] = max(0.0, best.mass[m] - math.exp(best.log_before[m]) * chance) if len(others) > 1 else 0.0
         # the departing edge, then a free draw to the end of the word and through the words after it
         tail, there = [edge], int(lattices.target[edge])
         while there:
-            tail.append(int(lattices.step(np.array([there]), np.array([int(u() * 2**32)], np.uint64))[0]))
-            there = int(lattices.target[tail[-1]])
+            u, e = int(next(units) * 2**32), int(lattices.first[there])
+            while u > lattices.upto[e]:
+                e += 1
+            tail.append(e)
+            there = int(lattices.target[e])
         free, off = draws[len(out)]
-        word = int(best.words[at])
-        after = free[off[word + 1] :]
-        new = np.concatenate([best.path[:at], np.array(tail, np.int64), after])
-        new_words = np.concatenate([best.words[:at], np.full(len(tail), word), np.repeat(np.arange(word + 1, len(off) - 1), np.diff(off[word + 1 :]))])
-        before = float(best.log_before[m] + np.log(lattices.chance[edge]))
-        inner = _Set(new, new_words, before, at + 1, lattices)
+        word = int(np.searchsorted(best.offsets, at, "right")) - 1
+        new = np.concatenate([best.path[:at], np.array(tail, np.int64), free[off[word + 1] :]])
+        new_offsets = np.concatenate([best.offsets[: word + 1], off[word + 1 :] + (at + len(tail) - off[word + 1])])
+        inner = _Set(new, new_offsets, float(best.log_before[m]) + math.log(chance), at + 1, lattices)
         out.append((new, float(inner.log_before[-1]), value))
-        best.lower(value, u())
-        inner.lower(value, u())
+        best.lower(value, next(units))
+        inner.lower(value, next(units))
         sets.append(inner)
 
 
-def sample_texts(texts: list[str], keys: list[int], v: Vocabulary, k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
+def _split(texts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+    """The words of texts, without the mark that each starts with, and the rows of the texts, which change places."""
+    # runs of blanks, blanks at the start and marks in the text make words that begin with several marks
+    odd = pc.match_substring_regex(texts, r"  |\A |▁|\A\z")
+    rows = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    rest = [[w[1:] for w in _WORDS.findall("▁" + t.replace(" ", "▁"))] if t else [] for t in texts.filter(odd).to_pylist()]
+    return pa.concat_arrays([plain, pa.array(rest, plain.type)]), rows
+
+
+def sample_texts(texts: pa.Array | list[str], keys: list[int], v: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text its samples: ids, log-probability, perturbed value, inclusion score."""
-    split = [_WORDS.findall("▁" + t.replace(" ", "▁")) if t else [] for t in texts]
-    number, kept = v.number, len(v.number)
-    got = [list(map(number.get, words)) for words in split]
-    for words, own in zip(split, got):
-        if None in own:
-            own[:] = [number.setdefault(w, len(number)) if n is None else n for w, n in zip(words, own)]
-    flat = np.array(list(chain.from_iterable(got)), np.int64)
-    new = list(islice(number, kept, None))
-    lattices = v.lattices
-    if new:
-        built = Lattices(new, v)
+    lists, rows = _split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+    numbered = lists.flatten().dictionary_encode()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    codes, words = np.array(numbered.indices), numbered.dictionary
+    del lists, numbered
+    lattices, places = v.lattices, pc.index_in(words, v.words)
+    new = words.filter(pc.is_null(places))
+    if len(new):
+        built = Lattices([f"▁{w}" for w in new.to_pylist()], v)
         lattices = built if lattices is None else lattices.joined(built)
-        if kept < _KEEP_WORDS:
-            v.lattices = lattices
-        else:
-            for w in new:
-                del number[w]
-    counts = np.array([len(w) for w in split], np.int64)
-    bounds = np.append(0, np.cumsum(counts))
-    place = np.arange(len(flat), dtype=np.uint64) - np.repeat(bounds[:-1], counts).astype(np.uint64)
-    row = np.repeat(np.array(keys, np.uint64), counts)
-    draws, starts = [], lattices.start[flat] if len(flat) else flat
-    order = np.argsort(starts)
-    for r in range(k if len(flat) else 0):
-        draws.append(_draw(lattices, starts, order, mix(row + np.uint64((r + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) + mix(place + np.uint64(r))))
-    for i in range(len(texts)):
-        a, b = int(bounds[i]), int(bounds[i + 1])
+        own = places.to_numpy(zero_copy_only=False)
+        own = np.where(np.isnan(own), len(v.words) + np.cumsum(np.isnan(own)) - 1, own).astype(np.int64)
+        if len(v.words) < _KEEP_WORDS:
+            v.words, v.lattices = pa.concat_arrays([v.words, new]), lattices
+    else:
+        own = places.to_numpy()
+    counts = np.diff(bounds)
+    starts = lattices.start[own][codes] if len(codes) else codes
+    place = np.arange(len(codes), dtype=np.uint64) - np.repeat(bounds[:-1], counts).astype(np.uint64)
+    key_of = [keys[r] for r in rows.tolist()]
+    row = np.repeat(np.array(key_of, np.uint64), counts)
+    draws = [_draw(lattices, starts, mix(row + np.uint64((r + 1) * 0x2545F4914F6CDD1D & _ALL)) + mix(place + np.uint64(r))) for r in range(k if len(codes) else 0)]
+    out: list = [[(np.empty(0, np.int64), 0.0, 0.0, 1.0)]] * len(key_of)
+    for r, key, a, b in zip(rows.tolist(), key_of, bounds.tolist(), bounds[1:].tolist()):
         if a == b:
-            yield [(np.empty(0, np.int64), 0.0, 0.0, 1.0)]
             continue
-        own = [(e[o[a] : o[b]], o[a : b + 1] - o[a]) for e, o in draws]
-        *found, (_, _, below) = top_k(lattices, own, keys[i], k)
-        yield [(_ids(lattices.piece[path], v), logp, value, 1.0 if below == -np.inf else float(-np.expm1(-np.exp(min(50.0, logp - below))))) for path, logp, value in found]
+        mine = [(e[o[a] : o[b]], o[a : b + 1] - o[a]) for e, o in draws]
+        *found, (_, _, below) = top_k(lattices, mine, key, k)
+        out[r] = [(_ids(lattices.piece[path], v), logp, value, 1.0 if below == -math.inf else -math.expm1(-math.exp(min(50.0, logp - below)))) for path, logp, value in found]
+    return out
 
 
 def _ids(pieces: np.ndarray, v: Vocabulary) -> np.ndarray:
@@ -321,16 +342,18 @@ def _ids(pieces: np.ndarray, v: Vocabulary) -> np.ndarray:
     odd = np.flatnonzero(pieces <= 0)
     if not len(odd):
         return pieces
-    out, at = [], 0
-    for k in odd.tolist():
-        out += [pieces[at:k], v.bytes[np.frombuffer(chr(-int(pieces[k])).encode("utf-8", "replace"), np.uint8)]]
-        at = k + 1
-    return np.concatenate([*out, pieces[at:]])
+    spelled = {c: v.bytes[np.frombuffer(chr(-c).encode("utf-8", "replace"), np.uint8)] for c in set(pieces[odd].tolist())}
+    sizes = np.ones(len(pieces), np.int64)
+    parts = [spelled[c] for c in pieces[odd].tolist()]
+    sizes[odd] = np.fromiter(map(len, parts), np.int64, len(parts))
+    out = np.repeat(pieces, sizes)
+    out[out <= 0] = np.concatenate(parts)
+    return out
 
 
 def decode(ids: list[int], v: Vocabulary) -> str:
     """The text of ids: pieces joined, byte pieces as UTF-8, blanks for the mark, without the first one."""
-    return b"".join([v.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+    return b"".join(map(v.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str = MODEL, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,10 +365,10 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: s
         v = vocabulary(model, alpha)
         for batch in batches:
             for some in steps(batch, 1, _STEP):
-                doc_ids, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
+                doc_ids = some.column(0).to_pylist()
                 keys = [xxhash.xxh3_64_intdigest(f"{seed}|{d}") for d in doc_ids]
                 rows, ids, sizes = [], [], [0]
-                for d, samples in zip(doc_ids, sample_texts(texts, keys, v, k)):
+                for d, samples in zip(doc_ids, sample_texts(some.column(1), keys, v, k)):
                     for j, (own, logp, value, inclusion) in enumerate(samples, 1):
                         rows.append((d, j, len(own), logp, value, inclusion, zlib.crc32(decode(own.tolist(), v).encode("utf-8", "surrogatepass"))))
                         ids.append(own)

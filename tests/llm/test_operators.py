@@ -456,14 +456,25 @@ def test_segmentations_are_distinct_and_follow_the_model():
     cut("▁the▁cat", [], 0.0)
     z = np.logaddexp.reduce([x for _, x in found])
     p = {ids: math.exp(x - z) for ids, x in found}
-    n, first = 4000, Counter()
+    n, first, triples, weights = 4000, Counter(), Counter(), defaultdict(list)
     for samples in lattice.sample_texts(["the cat"] * n, [int(x) for x in neardup.mix(np.arange(n, dtype=np.uint64))], v, 3):
         ids = [tuple(int(i) for i in s[0]) for s in samples]
         assert len(set(ids)) == 3 and all(abs(math.exp(s[1]) - p[i]) < 1e-9 for i, s in zip(ids, samples))
         assert samples[0][2] >= samples[1][2] >= samples[2][2] and all(0 <= s[3] <= 1 for s in samples)
         first[ids[0]] += 1
-    for ids in sorted(p, key=p.get)[-4:]:
+        triples[tuple(ids)] += 1
+        for i, x in zip(ids, samples):
+            weights[i].append(1 / x[3])
+    likely = sorted(p, key=p.get)[-4:]
+    for ids in likely:
         assert abs(first[ids] / n - p[ids]) < 4 * math.sqrt(p[ids] / n)
+        # what was sampled, weighted with one over its inclusion score, counts as one draw of everything
+        w = np.array(weights[ids])
+        assert abs(w.sum() / n - 1) < 5 * math.sqrt((w**2).sum()) / n
+    # the three samples in order are draws without replacement
+    for a, b, c in itertools.permutations(likely, 3):
+        want = p[a] * p[b] / (1 - p[a]) * p[c] / (1 - p[a] - p[b])
+        assert abs(triples[a, b, c] / n - want) < 5 * math.sqrt(want / n) + 1 / n
 
 
 def test_segmentations_of_odd_texts(spark):
