@@ -38,17 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, ship
+from .common import claim, ship, trimmed
 from .encoding import token_path
 from .neardup import _M1, _M2, mix
 from .steps import steps
 
 MODEL, SHIFT, ALPHA, SAMPLES, SEED = "piece_bpe_32k.model", 2.7, 1.0, 2, 11
-_STEP = 3 << 20
+_STEP, _GIVE_BACK = 1 << 20, 8 << 20
 _BASE, _ALL = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 _WORDS = re.compile("▁+[^▁]*|[^▁]+")
-#: Words whose lattices a worker keeps.
-_KEEP_WORDS = 60_000
+#: Edges of the lattices that a worker keeps, of 20 bytes each besides their nodes and words.
+_KEEP_EDGES = 1_500_000
+#: Words whose lattices are built at once.
+_BUILD = 16_000
 _vocabularies: dict[tuple[str, float], "Vocabulary"] = {}
 
 
@@ -76,7 +78,6 @@ class Vocabulary:
         self.byte_logp = alpha * (-np.log(n + SHIFT) - total)
         self.longest = max(len(self.pieces[i]) for i in normal)
         self.words = pa.array([], pa.string())  # whose lattices are kept
-        self.lattices: Lattices | None = None
         self.by_length, self.filter = {}, np.zeros(1 << 20, bool)
         for length in range(1, self.longest + 1):
             own = [i for i in normal if len(self.pieces[i]) == length]
@@ -89,6 +90,7 @@ class Vocabulary:
             order = np.argsort(h)
             self.by_length[length] = h[order], np.array(own)[order], np.array([alpha * (weight[i] - total) for i in own])[order]
             self.filter[(h >> np.uint64(44)).astype(np.int64)] = True
+        self.lattices = Shelf(self)
 
 
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
@@ -178,16 +180,6 @@ class Lattices:
         self.upto[self.first[2:] - 1] = 0xFFFFFFFF
         self.start = node_of[ends - lengths] if len(words) else np.empty(0, np.int64)
 
-    def joined(self, other: "Lattices") -> "Lattices":
-        """These lattices and others as one; the others' nodes and edges come after."""
-        out, n, m = Lattices.__new__(Lattices), len(self.first) - 2, len(self.target)
-        out.target = np.append(self.target, np.where(other.target > 0, other.target + np.int32(n), np.int32(0)))
-        for name in ("piece", "chance", "upto"):
-            setattr(out, name, np.append(getattr(self, name), getattr(other, name)))
-        out.first = np.append(self.first[:-1], other.first[1:] + m)
-        out.start = np.append(self.start, other.start + n)
-        return out
-
     def step(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The edge that each u (32 bits) chooses at its node."""
         edge = self.first[node]
@@ -198,6 +190,36 @@ class Lattices:
         return edge
 
 
+class Shelf(Lattices):
+    """The lattices of kept words and, behind them, those of the words at hand, in arrays that are written in place."""
+
+    def __init__(self, v: Vocabulary):
+        super().__init__([], v)
+        self.room = {name: getattr(self, name) for name in ("target", "piece", "chance", "upto", "first", "start")}
+        self.kept = {name: len(x) for name, x in self.room.items()}
+
+    def add(self, other: Lattices, keep: bool) -> None:
+        """Other lattices behind those that are there; kept ones come before all that are not."""
+        n, m = len(self.first) - 2, len(self.target)
+        more = {"target": np.where(other.target > 0, other.target + np.int32(n), np.int32(0)), "first": other.first[2:] + m, "start": other.start + n}
+        for name, room in self.room.items():
+            x, at = more.get(name, getattr(other, name, None)), len(getattr(self, name))
+            if at + len(x) > len(room):
+                self.room[name] = np.empty((at + len(x)) * 9 // 8, room.dtype)
+                self.room[name][:at] = room[:at]
+            self.room[name][at : at + len(x)] = x
+            setattr(self, name, self.room[name][: at + len(x)])
+        if keep:
+            self.kept = {name: len(getattr(self, name)) for name in self.room}
+
+    def forget(self) -> None:
+        """Back to the kept lattices; the room of an unusually large step goes too."""
+        if len(self.room["target"]) > 2 * max(_KEEP_EDGES, self.kept["target"]):
+            self.room = {name: x[: self.kept[name]].copy() for name, x in self.room.items()}
+        for name, x in self.room.items():
+            setattr(self, name, x[: self.kept[name]])
+
+
 def _draw(lattices: Lattices, start: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A path through each word: (edges in order, offsets by word)."""
     steps_, active, node, t = [], np.arange(len(start)), start, 0
@@ -310,17 +332,19 @@ def sample_texts(texts: pa.Array | list[str], keys: list[int], v: Vocabulary, k:
     bounds = lists.offsets.to_numpy().astype(np.int64)
     codes, words = np.array(numbered.indices), numbered.dictionary
     del lists, numbered
-    lattices, places = v.lattices, pc.index_in(words, v.words)
-    new = words.filter(pc.is_null(places))
-    if len(new):
-        built = Lattices([f"▁{w}" for w in new.to_pylist()], v)
-        lattices = built if lattices is None else lattices.joined(built)
-        own = places.to_numpy(zero_copy_only=False)
-        own = np.where(np.isnan(own), len(v.words) + np.cumsum(np.isnan(own)) - 1, own).astype(np.int64)
-        if len(v.words) < _KEEP_WORDS:
-            v.words, v.lattices = pa.concat_arrays([v.words, new]), lattices
-    else:
-        own = places.to_numpy()
+    v.lattices.forget()
+    lattices, own = v.lattices, pc.fill_null(pc.index_in(words, v.words), -1).to_numpy().astype(np.int64)
+    new = own < 0
+    # the words that come again are kept while there is room
+    often = np.bincount(codes, minlength=len(own)) > 1
+    for some, keep in ((new & often, True), (new & ~often, False)):
+        at = np.flatnonzero(some)
+        for few in np.array_split(at, -(-len(at) // _BUILD)) if len(at) else ():
+            mine, keep = words.take(pa.array(few)), keep and len(lattices.target) < _KEEP_EDGES
+            own[few] = len(lattices.start) + np.arange(len(few))
+            lattices.add(Lattices([f"▁{w}" for w in mine.to_pylist()], v), keep)
+            if keep:
+                v.words = pa.concat_arrays([v.words, mine])
     counts = np.diff(bounds)
     starts = lattices.start[own][codes] if len(codes) else codes
     place = np.arange(len(codes), dtype=np.uint64) - np.repeat(bounds[:-1], counts).astype(np.uint64)
@@ -363,23 +387,22 @@ def encode_samples(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, alpha)
-        for batch in batches:
-            for some in steps(batch, 1, _STEP):
-                doc_ids = some.column(0).to_pylist()
-                keys = [xxhash.xxh3_64_intdigest(f"{seed}|{d}") for d in doc_ids]
-                rows, ids, sizes = [], [], [0]
-                for d, samples in zip(doc_ids, sample_texts(some.column(1), keys, v, k)):
-                    for j, (own, logp, value, inclusion) in enumerate(samples, 1):
-                        rows.append((d, j, len(own), logp, value, inclusion, zlib.crc32(decode(own.tolist(), v).encode("utf-8", "surrogatepass"))))
-                        ids.append(own)
-                        sizes.append(sizes[-1] + len(own))
-                if not rows:
-                    continue
-                c = list(zip(*rows))
-                flat = pa.array(np.concatenate(ids).astype(np.int32))
-                lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
-                arrays = [pa.array(c[0], some.column(0).type), pa.array(c[1], pa.int32()), lists, pa.array(c[2], pa.int32()), pa.array(c[3]), pa.array(c[4]), pa.array(c[5]), pa.array(c[6], pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+        for some in trimmed((some for batch in batches for some in steps(batch, 1, _STEP)), _GIVE_BACK):
+            doc_ids = some.column(0).to_pylist()
+            keys = [xxhash.xxh3_64_intdigest(f"{seed}|{d}") for d in doc_ids]
+            rows, ids, sizes = [], [], [0]
+            for d, samples in zip(doc_ids, sample_texts(some.column(1), keys, v, k)):
+                for j, (own, logp, value, inclusion) in enumerate(samples, 1):
+                    rows.append((d, j, len(own), logp, value, inclusion, zlib.crc32(decode(own.tolist(), v).encode("utf-8", "surrogatepass"))))
+                    ids.append(own)
+                    sizes.append(sizes[-1] + len(own))
+            if not rows:
+                continue
+            c = list(zip(*rows))
+            flat = pa.array(np.concatenate(ids).astype(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+            arrays = [pa.array(c[0], some.column(0).type), pa.array(c[1], pa.int32()), lists, pa.array(c[2], pa.int32()), pa.array(c[3]), pa.array(c[4]), pa.array(c[5]), pa.array(c[6], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     kind = texts.schema["doc_id"].dataType.simpleString()

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -487,6 +488,31 @@ def test_segmentations_of_odd_texts(spark):
     assert lattice.encode_samples(docs(spark, [])).count() == 0
 
 
+def test_segmentation_workers_stay_small(monkeypatch):
+    """What a worker keeps is bounded, and a text with a new word neither copies it nor changes by it."""
+    monkeypatch.setattr(lattice, "_KEEP_EDGES", 200_000, raising=False)
+    v, rng = lattice.Vocabulary(lattice.MODEL), np.random.default_rng(1)
+    for _ in range(6):
+        words = ["".join(map(chr, 97 + rng.integers(0, 26, 8))) for _ in range(15_000)]
+        texts = [" ".join(words[i : i + 500] * 2) for i in range(0, len(words), 500)]
+        last = lattice.sample_texts(texts, list(range(len(texts))), v, 2)
+    lattice.sample_texts(["xqvz"], [1], v, 2)
+    tracemalloc.start()
+    try:
+        lattice.sample_texts(["qzxv jjkw"], [1], v, 2)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    held = v.lattices.target.nbytes
+    assert most < held, "the kept lattices were copied"
+    assert 4 * 200_000 <= held < 4 * 600_000 and len(v.words) < 40_000
+    fresh = lattice.sample_texts(texts, list(range(len(texts))), lattice.Vocabulary(lattice.MODEL), 2)
+    again = lattice.sample_texts(texts, list(range(len(texts))), v, 2)
+    for a, b, c in zip(last, fresh, again):
+        for x, y, z in zip(a, b, c, strict=True):
+            assert x[0].tolist() == y[0].tolist() == z[0].tolist() and x[1:] == y[1:] == z[1:]
+
+
 def test_tiny_fractions_and_empty_samples(spark):
     """Sampling works at any fraction, and says so if nothing is left."""
     from tessera.llm.common import sampled
